@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import own_name, read
 
 MAX_ROWS = 4000
 MIN_PRECISION = 0.9
@@ -176,8 +176,9 @@ def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = fit(docs, labels)
     used = {c[0] for r in rules for c in r["conditions"]}
     stats = {n: c for n, c in statistics(F.col("text")).items() if n in used}
-    d = docs.withColumns({f"__stat_{n}": c for n, c in stats.items()})
-    number, _ = expressions(rules, {n: F.col(f"__stat_{n}") for n in stats})
+    names = {n: own_name(docs, f"__{n}") for n in stats}
+    d = docs.withColumns({names[n]: c for n, c in stats.items()})
+    number, _ = expressions(rules, {n: F.col(c) for n, c in names.items()})
     return d.where(number == 0).select(*docs.columns)
 
 

@@ -139,3 +139,40 @@ def winnow(g: np.ndarray, valid: np.ndarray, row: np.ndarray, w: int) -> np.ndar
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def word_sums(h: np.ndarray) -> np.ndarray:
+    """Prefix sums for word_spans()."""
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * powers(_Q, len(h)), out=sums[1:])
+    return sums
+
+
+def word_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words [start, end) for each span, equal for equal sequences of words."""
+    inverse = powers(_inverse(_Q), len(sums))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences that have a word: byte starts and ends, row, first and last word (exclusive), and prefix sums of the words' hashes.
+
+    A sentence ends with its line, or after . ! or ? before white space or the end of its row.
+    """
+    ws, we, wrow, wh = words(data, offsets)
+    n = len(data)
+    last = np.zeros(n, dtype=bool)
+    last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+    following = np.ones(n, dtype=bool)
+    following[:-1] = _BLANK[data[1:]]
+    ends = np.flatnonzero((_STOP[data] & following) | (data == 10) | last) + 1
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    w0, w1 = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
+    has = w1 > w0
+    return starts[has], ends[has], row_of(starts[has], offsets), w0[has], w1[has], word_sums(wh)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, id_and_text, read
+from .shared import Scratch, id_and_text, own_name, read
 
 _TRIM = r"^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$"
 
@@ -86,36 +86,23 @@ def bitmaps(docs: DataFrame) -> DataFrame:
     return by.select("doc_id", "text_hash", "kept", "n_lines", "n_kept").mapInArrow(_run_lengths, "doc_id long, text_hash long, n_lines int, n_kept int, keep_runs string")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines, at, keep, kept = text.split("\n"), 0, True, []
-            for n in map(int, code.split()):
-                if keep:
-                    kept += lines[at : at + n]
-                at, keep = at + n, not keep
-            out.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
-
-
 def apply(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines, with the same columns; n_chars, where there is one, is counted anew.
 
     A document all of whose lines are dropped goes. Documents from which nothing is dropped, and rows without doc_id, stay as they are.
     Of repeated rows with the same doc_id and text each gets the same lines.
     """
-    found = bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").cast("long").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_kept").alias("__kept"), F.col("keep_runs").alias("__runs"))
-    names = docs.columns
+    key, text_hash, n_kept, code = (own_name(docs, n) for n in ("__id", "__hash", "__kept", "__runs"))
+    found = bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("n_kept").alias(n_kept), F.col("keep_runs").alias(code))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(found, (docs["doc_id"].cast("long") == found["__id"]) & (F.xxhash64(text) == found["__hash"]), "left").where("__runs is null or __kept > 0")
-    position = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(F.element_at("__mask", i + 1), line)), lambda x: x.isNotNull()), "\n")
-    runs = F.split("__runs", " ")
-    mask = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n.cast("int"))))
-    cut = joined.withColumn("__mask", F.when(F.col("__runs").isNotNull(), mask)).withColumn("text", F.when(F.col("__mask").isNotNull(), position).otherwise(F.col("text")))
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("__mask").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*names)
+    joined = docs.join(found, (docs["doc_id"].cast("long") == found[key]) & (F.xxhash64(text) == found[text_hash]), "left").where(F.col(code).isNull() | (F.col(n_kept) > 0))
+    mask = F.flatten(F.transform(F.split(code, " "), lambda n, i: F.array_repeat(i % 2 == 0, n.cast("int"))))
+    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), mask.alias("keep")), lambda x: x["keep"])
+    cut = F.when(F.col(code).isNotNull(), F.array_join(F.transform(pairs, lambda x: x["line"]), "\n")).otherwise(F.col("text"))
+    out = joined.withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(code).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def id_and_text(docs: DataFrame, lower: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lower(text) if lower else text).alias("text")).where("doc_id is not null")
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone (one column of longs); rows without doc_id stay."""
+    name = own_name(docs, "__gone")
+    gone = gone.toDF(name)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 SLICE_BYTES = 4 << 20
 
 
