@@ -1,123 +1,105 @@
 """From files to chunks: whole paragraphs packed greedily up to a number of bytes.
 
-A file is split into paragraphs as rows, so no task needs a file as one string before its chunks are formed; the greedy
-packing itself is an ordered fold over the paragraphs' sizes inside each file. Many files run in parallel.
+A file is a set of paragraph rows (file, pos, p) and never one string, so a file of any size is spread over tasks; only the
+greedy packing, an ordered fold, sees a whole file, and of it only the paragraphs' sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
 
+BREAK = "\n\n"
+
 
 def paragraphs(files: DataFrame) -> DataFrame:
-    """file, pos, paragraph (up to and with its blank line), size in bytes, start byte; paragraphs of white space only are left out."""
-    parts = F.split(F.coalesce("text", F.lit("")), "\n\n")
-    p = files.select("file", F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "p"))
-    p = p.withColumn("paragraph", F.when(F.col("pos") + 1 < F.col("n"), F.concat("p", F.lit("\n\n"))).otherwise(F.col("p")))
-    w = Window.partitionBy("file").orderBy("pos")
-    p = p.withColumn("size", F.octet_length("paragraph")).withColumn("start", F.sum("size").over(w) - F.col("size"))
-    return p.where(F.regexp_replace("paragraph", r"[\n \t]", "") != "").select("file", "pos", "paragraph", "size", "start")
-
-
-def _pack(start: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
-    """Number of the chunk of each paragraph: a new one where the span so far and the paragraph exceed the limit."""
-    out = np.zeros(len(start), dtype=np.int64)
-    begin = n = end = 0
-    for i in range(len(start)):
-        if i and end - begin + size[i] > limit:
+    """file, major, minor, p of files (file, text): what stands between blank lines. pos is (major, minor)."""
+    return files.select("file", F.lit(0).cast("long").alias("major"), F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("minor", "p"))
+
+
+def source_paragraphs(documents: DataFrame) -> DataFrame:
+    """The same of a table of documents: those of a source, in the order of doc_id with blank lines between, are a file."""
+    return documents.select(F.concat("source", F.lit(".txt")).alias("file"), F.col("doc_id").alias("major"), F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("minor", "p"))
+
+
+def _pack(size: np.ndarray, blank: np.ndarray, limit: int) -> np.ndarray:
+    """The chunk of each paragraph from 1, 0 for blank ones between chunks. A chunk's span counts the blank ones inside."""
+    out = np.zeros(len(size), dtype=np.int64)
+    ends = np.cumsum(size)
+    begin, n, end, before = 0, 0, 0, -1
+    for i in np.flatnonzero(~blank):
+        if n and end - begin + size[i] <= limit:
+            out[before + 1 : i] = n
+        else:
             n += 1
-            begin = start[i]
-        elif not i:
-            begin = start[i]
-        end = start[i] + size[i]
-        out[i] = n
+            begin = ends[i] - size[i]
+        out[i], end, before = n, ends[i], i
     return out
 
 
-def chunk_files(files: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
-    """file, n (number in the file from 1), text of each chunk. Blank gaps inside a chunk stay, those between chunks go.
-
-    Files without a paragraph give no chunk; a paragraph over the limit is a chunk of its own.
-    """
+def chunk_paragraphs(par: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
+    """file, n (from 1), text, file_size. Files without a paragraph give no chunk; a paragraph over the limit is a chunk of its own."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pdf["n"] = _pack(pdf["start"].to_numpy(), pdf["size"].to_numpy(), limit) + 1
-        return pdf[["file", "pos", "n"]]
+        pdf = pdf.sort_values(["major", "minor"], kind="stable")
+        size = pdf["size"].to_numpy() + len(BREAK)
+        size[-1] -= len(BREAK)
+        pdf["n"] = _pack(size, pdf["blank"].to_numpy(), limit)
+        pdf["file_size"] = int(size.sum())
+        pdf["last"] = np.arange(len(pdf)) == len(pdf) - 1
+        return pdf.loc[pdf["n"] > 0, ["file", "major", "minor", "n", "file_size", "last"]]
 
-    p = paragraphs(files)
-    numbered = p.select("file", "pos", "size", "start").groupBy("file").applyInPandas(pack, "file string, pos int, n long")
-    spans = numbered.groupBy("file", "n").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    parts = F.split(F.coalesce("text", F.lit("")), "\n\n")
-    text = F.array_join(F.slice("parts", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1), "\n\n")
-    text = F.concat(text, F.when(F.col("hi") + 1 < F.size("parts"), F.lit("\n\n")).otherwise(""))
-    return spans.join(files.select("file", parts.alias("parts")), "file").select("file", "n", text.alias("text"))
+    sizes = par.select("file", "major", "minor", F.octet_length("p").cast("long").alias("size"), (F.regexp_replace("p", r"[\n \t]", "") == "").alias("blank"))
+    placed = sizes.groupBy("file").applyInPandas(pack, "file string, major long, minor int, n long, file_size long, last boolean")
+    parts = par.join(placed, ["file", "major", "minor"]).groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("major", "minor", "p"))).alias("x"), F.max("last").alias("last"), F.first("file_size").alias("file_size"))
+    text = F.concat(F.array_join(F.transform("x", lambda x: x["p"]), BREAK), F.when(F.col("last"), F.lit("")).otherwise(F.lit(BREAK)))
+    return parts.select("file", "n", text.alias("text"), "file_size")
 
 
 def chapter_codes(files: DataFrame) -> DataFrame:
-    """file, chapter_code: the code of its name; files with the same code get 2, 3, ... behind it, in the order of size and name.
+    """file, chapter_code of (file, file_size): the code of its name; files with the same code get 2, 3, ... behind it, by size and name.
 
-    A numbered code that is another file's own is passed over. The names are few against the text, so this is one small sort.
+    A numbered code that is another file's own gets an x. A row for each file: small against the text.
     """
-    name = F.regexp_extract("file", r"([^/]*)$", 1)
-    f = files.select("file", T.chapter_code(name).alias("base"), F.octet_length("text").alias("size"))
-    w = Window.partitionBy("base").orderBy("size", "file")
-    f = f.withColumn("k", F.row_number().over(w))
-    taken = f.select(F.col("base").alias("chapter_code")).distinct()
-    f = f.withColumn("chapter_code", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.col("k").cast("string"))))
-    clash = f.where("k > 1").join(taken, "chapter_code", "left_semi").select("file", F.lit("x").alias("mark"))
-    return f.join(clash, "file", "left").select("file", F.concat("chapter_code", F.coalesce("mark", F.lit(""))).alias("chapter_code"))
-
-
-def chunks(files: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
-    """The chunk table: chunk_idx (global, by file size, file, n), ids, links, tokens, summary, text."""
-    c = chunk_files(files, limit).join(chapter_codes(files), "file")
-    sizes = files.select("file", F.octet_length("text").alias("file_size"))
-    c = c.join(sizes, "file")
-    c = c.withColumn("chunk_id", F.format_string("%s_%03d", "chapter_code", "n"))
-    inside = Window.partitionBy("file").orderBy("n")
-    order = Window.orderBy("file_size", "file", "n")
-    c = c.withColumns({"prev_chunk_id": F.lag("chunk_id").over(inside), "next_chunk_id": F.lead("chunk_id").over(inside)})
-    numbers = c.groupBy("file", "file_size").agg(F.count("*").alias("k"), F.sum(T.token_count(F.col("text"))).alias("t"))
-    before = Window.orderBy("file_size", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
-    offsets = numbers.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first_token"))
-    del order
-    c = c.join(offsets, "file")
+    f = files.select("file", T.chapter_code(F.regexp_extract("file", r"([^/]*)$", 1)).alias("base"), "file_size")
+    f = f.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("file_size", "file")))
+    f = f.withColumn("code", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.col("k").cast("string"))))
+    own = f.select(F.col("base").alias("code")).distinct().withColumn("own", F.lit(True))
+    f = f.join(own, "code", "left")
+    return f.select("file", F.when((F.col("k") > 1) & F.col("own"), F.concat("code", F.lit("x"))).otherwise(F.col("code")).alias("chapter_code"))
+
+
+def chunks(par: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
+    """The chunk table: chunk_idx over all files by their size and name, ids, links inside a file, running tokens, summary, text."""
+    c = chunk_paragraphs(par, limit)
     tokens = T.token_count(F.col("text"))
+    files = c.groupBy("file", "file_size").agg(F.count("*").alias("k"), F.sum(tokens).alias("t"))
+    before = Window.orderBy("file_size", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    places = files.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first_token"))
+    inside = Window.partitionBy("file").orderBy("n")
+    c = c.join(chapter_codes(files.select("file", "file_size")), "file").join(places, "file")
+    c = c.withColumn("chunk_id", F.format_string("%s_%03d", "chapter_code", "n"))
     end = F.col("first_token") + F.sum(tokens).over(inside)
     return c.select(
-        (F.col("first") + F.col("n") - 1).alias("chunk_idx"), "chunk_id", F.col("file").alias("source_file"), "chapter_code", F.col("n").cast("long").alias("n"),
-        "prev_chunk_id", "next_chunk_id", (end - tokens).alias("token_start"), end.alias("token_end"), T.summary(F.col("text")).alias("summary"), "text",
+        (F.col("first") + F.col("n") - 1).alias("chunk_idx"), "chunk_id", F.col("file").alias("source_file"), "chapter_code", "n",
+        F.lag("chunk_id").over(inside).alias("prev_chunk_id"), F.lead("chunk_id").over(inside).alias("next_chunk_id"), (end - tokens).alias("token_start"), end.alias("token_end"), T.summary(F.col("text")).alias("summary"), "text",
     )
 
 
-def token_ranges(chunk_table: DataFrame, skip: int, most: int, inclusive: bool = True) -> DataFrame:
-    """The chunks of one range of tokens: skipped while the running end is within `skip`, and stopped after `most` more.
+def token_range(chunk_table: DataFrame, skip: int, most: int, inclusive: bool = True) -> DataFrame:
+    """The chunks of a range of tokens: those whose running end passes `skip`, until `most` more are reached.
 
-    inclusive keeps the chunk that crosses the end, so that one at a border is in both ranges; else each chunk is in the range where it ends.
+    inclusive keeps the chunk that crosses the end, so that one at a border is in both ranges; else a chunk is in the range where it ends.
     """
     start, end = F.col("token_start"), F.col("token_end")
-    last = start < skip + most if inclusive else end <= skip + most
-    return chunk_table.where((end > skip) & last)
+    return chunk_table.where((end > skip) & (start < skip + most if inclusive else end <= skip + most))
 
 
 def segments(chunk_table: DataFrame, tokens_per_segment: int) -> DataFrame:
-    """Adds segment_id: each chunk is in the segment where it begins."""
+    """Adds segment_id: the segment where a chunk begins."""
     return chunk_table.withColumn("segment_id", F.floor(F.col("token_start") / tokens_per_segment).cast("int"))
-
-
-def ranges_of(total: int, size: int) -> Iterator[tuple[int, int]]:
-    for skip in range(0, total, size):
-        yield skip, size
-
-
-def numbered(column: Column) -> Column:
-    return column.cast("long")

@@ -21,12 +21,6 @@ def text_files(spark: SparkSession, *dirs: str) -> DataFrame:
     return b.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
 
 
-def documents_as_files(documents: DataFrame) -> DataFrame:
-    """One file for each source: its texts in the order of doc_id with a blank line between."""
-    d = documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
-    return d.select(F.concat("source", F.lit(".txt")).alias("file"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSONL manifest with defaults for what lines lack, 200 keywords a line; lines that aren't JSON are left out."""
     raw = spark.read.schema(MANIFEST + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)

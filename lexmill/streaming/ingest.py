@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -16,15 +16,11 @@ def ingest(files: DataFrame, path: str, batch_id: int) -> None:
 
     A batch writes its own partition by overwriting it, so that one that runs again after a failure doesn't add its rows twice.
     """
-    c = chunking.chunk_files(files, C.DYNAMIC_CHUNK_BYTES)
+    c = chunking.chunk_paragraphs(chunking.paragraphs(files), C.DYNAMIC_CHUNK_BYTES)
     name = F.regexp_extract("file", r"([^/]*)$", 1)
     clean = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "[^A-Za-z0-9]", "_")
-    files_in_order = c.select("file").distinct()
     c = c.withColumns({"type": T.content_type(name), "clean": clean})
     numbered = c.groupBy("file").agg(F.count("*").alias("k"))
-    del files_in_order
-    from pyspark.sql import Window
-
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of the micro-batch
     first = numbered.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
     c = c.join(first, "file").withColumn("chunk_idx", F.col("first") + F.col("n") - 1)
@@ -33,10 +29,8 @@ def ingest(files: DataFrame, path: str, batch_id: int) -> None:
         F.lit(0).cast("long").alias("token_start"), T.token_count(F.col("text")).alias("token_end"), T.summary(F.col("text")).alias("summary"), "text",
     )
     index = Index.build(table)
-    spark = table.sparkSession
     for t in Index.TABLES:
         getattr(index, t).drop("segment_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{t}/segment_id={batch_id + 1}")
-    del spark
 
 
 def read(spark: SparkSession, path: str) -> Index:
