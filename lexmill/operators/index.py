@@ -102,7 +102,7 @@ def chapter_signatures(chunk_table: DataFrame, keywords: DataFrame) -> DataFrame
 
 
 class Index:
-    """The tables of an index, in memory as plans; write() makes them parquet tables and read() takes these up again."""
+    """The tables of an index. build() only plans them; create() writes them as parquet and read() takes these up again."""
 
     TABLES = ("chunks", "doc_keywords", "postings", "stem_stats", "doc_stats", "segment_stats")
 
@@ -119,15 +119,27 @@ class Index:
         stats = doc_stats(dk)
         return cls(chunks=chunk_table, doc_keywords=dk, postings=post, stem_stats=stem_stats(post), doc_stats=stats, segment_stats=segment_stats(chunk_table, stats))
 
-    def write(self, path: str) -> Index:
-        """Each table as parquet under path; a table that others hang on is written before them and read again for them."""
-        spark = self.chunks.sparkSession
-        write = lambda df, name: (df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
-        c = write(self.chunks, "chunks")
-        dk = write(self.doc_keywords.repartitionByRange("stem").sortWithinPartitions("stem", "chunk_idx"), "doc_keywords")
+    @classmethod
+    def create(cls, chunk_table: DataFrame, path: str, segment: int | None = None) -> Index:
+        """The index as parquet under path. Chunks, their own keywords and all keywords are written before what hangs on them is
+        planned, so that no text is cut or tokenised twice. With a segment, only its partition of each table is written, over what it held.
+        """
+        spark = chunk_table.sparkSession
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            if segment is None:
+                df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+                return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+            part = f"{path}/{name}/segment_id={segment}"
+            df.drop("segment_id").write.mode("overwrite").option("compression", "zstd").parquet(part)
+            return spark.read.parquet(part).withColumn("segment_id", F.lit(segment)).select(*df.columns)
+
+        c = write(with_segment(chunk_table), "chunks")
+        own = write(chunk_keywords(c), "own_keywords")
+        dk = write(with_stems(propagate(own, c)).repartitionByRange("stem").sortWithinPartitions("stem", "chunk_idx"), "doc_keywords")
         post = write(postings(dk).repartitionByRange("stem").sortWithinPartitions("stem", "chunk_idx"), "postings")
         stats = write(doc_stats(dk), "doc_stats")
-        return Index(chunks=c, doc_keywords=dk, postings=post, stem_stats=write(stem_stats(post), "stem_stats"), doc_stats=stats, segment_stats=write(segment_stats(c, stats), "segment_stats"))
+        return cls(chunks=c, doc_keywords=dk, postings=post, stem_stats=write(stem_stats(post), "stem_stats"), doc_stats=stats, segment_stats=write(segment_stats(c, stats), "segment_stats"))
 
     @classmethod
     def read(cls, spark, path: str) -> Index:

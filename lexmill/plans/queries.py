@@ -47,7 +47,7 @@ def _index(spark: SparkSession, d: str, segmented: bool) -> ix.Index:
     key = (spark.sparkContext.applicationId, d, segmented)
     if key not in _built:
         c = chunks_of(spark, d)
-        _built[key] = ix.Index.build(chunking.segments(c, SEGMENT_TOKENS) if segmented else c).write(shared_folder(spark))
+        _built[key] = ix.Index.create(chunking.segments(c, SEGMENT_TOKENS) if segmented else c, shared_folder(spark))
     return _built[key]
 
 

@@ -18,7 +18,7 @@ CODE = "code_files struct<files:array<struct<filename:string,chunk_ids:array<str
 def text_files(spark: SparkSession, *dirs: str) -> DataFrame:
     """file, text of all .txt and .md files below the folders; bytes that aren't UTF-8 become the replacement character."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(list(dirs))
-    return b.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return b.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

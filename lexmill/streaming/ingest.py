@@ -28,9 +28,7 @@ def ingest(files: DataFrame, path: str, batch_id: int) -> None:
         F.lit(batch_id + 1).alias("segment_id"), "chunk_idx", F.format_string("%s_%s_%d_%d", "clean", "type", F.lit(batch_id), F.col("chunk_idx") + 1).alias("chunk_id"), F.col("file").alias("source_file"), F.col("n").cast("long").alias("n"),
         F.lit(0).cast("long").alias("token_start"), T.token_count(F.col("text")).alias("token_end"), T.summary(F.col("text")).alias("summary"), "text",
     )
-    index = Index.build(table)
-    for t in Index.TABLES:
-        getattr(index, t).drop("segment_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{t}/segment_id={batch_id + 1}")
+    Index.create(table, path, batch_id + 1)
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -41,5 +39,5 @@ def read(spark: SparkSession, path: str) -> Index:
 def stream(spark: SparkSession, source: str, path: str, checkpoint: str):
     """A running query over the .txt and .md files that come into `source`."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{txt,md}").load(source)
-    files = raw.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    files = raw.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return files.writeStream.foreachBatch(lambda df, i: ingest(df, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
