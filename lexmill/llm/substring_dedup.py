@@ -1,12 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences with at least MIN_WORDS words is hashed; equal runs are joined over the whole table, and in each
-document the sentences covered by a run that is not the first of its kind, by (doc_id, sentence), are removed. A sentence ends
+From each sentence on, the run of RUN consecutive sentences, and of as many more as make up MIN_WORDS words, is hashed; equal runs are
+joined over the whole table, and in each document the sentences covered by a run that is not the first of its kind, by (doc_id,
+sentence), are removed. A sentence ends
 with its line or after . ! or ? before white space; parts without a word are no sentences and always stay.
 
 The firsts are found by an aggregation that combines in the map tasks, so that a run that is everywhere does not gather in one
-task; only hashes that repeat are joined back, and only documents that lose a sentence are returned. Null and empty texts and texts of
-fewer sentences than RUN lose nothing. Rows without doc_id are left out. Rows that share a doc_id are one document: their runs
+task; only hashes that repeat are joined back, and only documents that lose a sentence are returned. Null and empty texts and texts without
+a whole run lose nothing. Rows without doc_id are left out. Rows that share a doc_id are one document: their runs
 do not repeat each other, and each row is cut alike. Case and punctuation inside a run: words are compared as they are
 written, what stands between them is not.
 """
@@ -27,6 +28,14 @@ RUN = 3
 MIN_WORDS = 15
 
 
+def run_ends(row: np.ndarray, w0: np.ndarray, w1: np.ndarray, run_length: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last sentence of the run from each sentence on, and whether the run is whole in its row."""
+    n = len(row)
+    last = np.maximum(np.arange(n) + run_length - 1, np.searchsorted(w1, w0 + min_words))
+    inside = np.minimum(last, n - 1)
+    return inside, (last < n) & (row[inside] == row)
+
+
 def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """h, doc_id, s (number of the run's first sentence)."""
 
@@ -34,13 +43,12 @@ def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = M
         for batch in slices(it, "text"):
             data, offsets = buffers(batch.column(1))
             starts, _, row, w0, w1, sums = sentences(data, offsets)
-            n = len(starts) - run_length + 1
-            if n <= 0:
+            if not len(starts):
                 continue
+            last, whole = run_ends(row, w0, w1, run_length, min_words)
+            at = np.flatnonzero(whole)
             first = np.searchsorted(row, np.arange(batch.num_rows))
-            begin, end = w0[:n], w1[run_length - 1 :]
-            at = np.flatnonzero((row[:n] == row[run_length - 1 :]) & (end - begin >= min_words))
-            h = word_spans(sums, begin[at], end[at])
+            h = word_spans(sums, w0[at], w1[last[at]])
             r = row[at]
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(r)), pa.array((at - first[r]).astype(np.int32))], ["h", "doc_id", "s"])
 
@@ -56,20 +64,23 @@ def repeats(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS)
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("runs"), F.sort_array(F.collect_set("f_doc")).alias("first_doc_ids"))
 
 
-def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN) -> DataFrame:
+def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, first_doc_ids of the documents in `found`; text is what stays of it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it, "text"):
             data, offsets = buffers(batch.column(1))
-            starts, ends, row, _, _, _ = sentences(data, offsets)
+            starts, ends, row, w0, w1, _ = sentences(data, offsets)
+            last, _ = run_ends(row, w0, w1, run_length, min_words) if len(row) else (row, row)
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             texts, total, removed = [], [], []
             for i, runs in enumerate(batch.column(2).to_pylist()):
-                gone = np.zeros(first[i + 1] - first[i], dtype=bool)
-                for k in range(run_length):
-                    at = np.asarray(runs) + k
-                    gone[at[at < len(gone)]] = True
+                n = first[i + 1] - first[i]
+                at = np.asarray([r for r in runs if r < n], dtype=np.int64)
+                gone = np.zeros(n + 1, dtype=np.int64)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, np.minimum(last[first[i] + at] - first[i] + 1, n), -1)
+                gone = np.cumsum(gone[:n]) > 0
                 keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
                 for a, b in zip(starts[first[i] : first[i + 1]][gone] - offsets[i], ends[first[i] : first[i + 1]][gone] - offsets[i]):
                     keep[a:b] = False
@@ -83,7 +94,7 @@ def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    return cut(docs, repeats(docs, run_length, min_words), run_length)
+    return cut(docs, repeats(docs, run_length, min_words), run_length, min_words)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,11 +17,14 @@ def brute(texts, n=3, least=15):
     for d, ss in enumerate(parts):
         real = [i for i, s in enumerate(ss) if WORD.search(s)]
         gone = set()
-        for k in range(len(real) - n + 1):
-            run = tuple(w for i in real[k : k + n] for w in WORD.findall(ss[i]))
-            if len(run) >= least:
+        for k in range(len(real)):
+            run, taken = (), 0
+            while k + taken < len(real) and (taken < n or len(run) < least):
+                run += tuple(WORD.findall(ss[real[k + taken]]))
+                taken += 1
+            if taken >= n and len(run) >= least:
                 if run in seen:
-                    gone |= set(real[k : k + n])
+                    gone |= set(real[k : k + taken])
                 else:
                     seen[run] = d
         if gone:
@@ -36,7 +39,7 @@ def test_against_brute_force(spark):
         passage = corpus.prose(rng, 60)
         for d in rng.sample(range(40), 3):
             texts[d] = corpus.prose(rng, 20) + ".\n" + passage + ". " + texts[d]
-    texts += [texts[3], "Ü é. " * 40, "Ü é. " * 40, "a. b. c. a. b. c.", "x" * 5, "", "...\n\n!"]
+    texts += [texts[3], "Ü é. " * 40, "Ü é. " * 40, "a. b. c. a. b. c.", " ".join(f"Q{i}!!" for i in range(40)), "x. " + " ".join(f"Q{i}!!" for i in range(40)), "x" * 5, "", "...\n\n!"]
     expected = brute(texts)
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in substring_dedup.remove_repeats(corpus.docs(spark, texts)).collect()}
     assert got == expected and len(got) > 15
