@@ -162,23 +162,31 @@ def expressions(rules: list[dict], stats: dict[str, Column]) -> tuple[Column, Co
     return number.otherwise(0), precision.otherwise(F.lit(None).cast("double"))
 
 
-def decide(docs: DataFrame, rules: list[dict]) -> DataFrame:
-    """doc_id, rule, precision, keep for each row of docs."""
+def with_statistics(docs: DataFrame, rules: list[dict]) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with the statistics that the rules use. They come out of a generator of one row, which no condition is pushed through: else
+    each condition of each rule would compute its statistic anew.
+    """
     used = {c[0] for r in rules for c in r["conditions"]}
     stats = {n: c for n, c in statistics(F.col("text")).items() if n in used}
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"__{n}") for n, c in stats.items()])
-    number, precision = expressions(rules, {n: F.col(f"__{n}") for n in stats})
+    if not stats:
+        return docs, {}
+    names = {n: own_name(docs, f"__{n}") for n in stats}
+    one = F.inline(F.array(F.struct(*[c.alias(names[n]) for n, c in stats.items()])))
+    return docs.select("*", one), {n: F.col(c) for n, c in names.items()}
+
+
+def decide(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """doc_id, rule, precision, keep for each row of docs."""
+    d, names = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
+    number, precision = expressions(rules, names)
     return d.select("doc_id", number.cast("int").alias("rule"), precision.alias("precision"), (number == 0).alias("keep"))
 
 
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their columns."""
     rules = fit(docs, labels)
-    used = {c[0] for r in rules for c in r["conditions"]}
-    stats = {n: c for n, c in statistics(F.col("text")).items() if n in used}
-    names = {n: own_name(docs, f"__{n}") for n in stats}
-    d = docs.withColumns({names[n]: c for n, c in stats.items()})
-    number, _ = expressions(rules, {n: F.col(c) for n, c in names.items()})
+    d, names = with_statistics(docs, rules)
+    number, _ = expressions(rules, names)
     return d.where(number == 0).select(*docs.columns)
 
 
