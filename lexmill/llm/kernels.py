@@ -156,21 +156,19 @@ def word_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentences that have a word: byte starts and ends, row, first and last word (exclusive), and prefix sums of the words' hashes.
 
-    A sentence ends with its line, or after . ! or ? before white space or the end of its row.
+    A sentence ends with its line, or after . ! or ? that no letter or digit follows.
     """
     ws, we, wrow, wh = words(data, offsets)
     n = len(data)
     last = np.zeros(n, dtype=bool)
     last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
     following = np.ones(n, dtype=bool)
-    following[:-1] = _BLANK[data[1:]]
+    following[:-1] = ~_WORD[data[1:]]
     ends = np.flatnonzero((_STOP[data] & following) | (data == 10) | last) + 1
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     w0, w1 = np.searchsorted(ws, starts), np.searchsorted(ws, ends)

@@ -3,7 +3,7 @@
 From each sentence on, the run of RUN consecutive sentences, and of as many more as make up MIN_WORDS words, is hashed; equal runs are
 joined over the whole table, and in each document the sentences covered by a run that is not the first of its kind, by (doc_id,
 sentence), are removed. A sentence ends
-with its line or after . ! or ? before white space; parts without a word are no sentences and always stay.
+with its line or after . ! or ? that no letter or digit follows; parts without a word are no sentences and always stay.
 
 The firsts are found by an aggregation that combines in the map tasks, so that a run that is everywhere does not gather in one
 task; only hashes that repeat are joined back, and only documents that lose a sentence are returned. Null and empty texts and texts without
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .kernels import buffers, sentences, signed, word_spans
 from .shared import Scratch, id_and_text, read, slices
 
-RUN = 3
+RUN = 2
 MIN_WORDS = 15
 
 
