@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-From each sentence on, the run of RUN consecutive sentences, and of as many more as make up MIN_WORDS words, is hashed; equal runs are
-joined over the whole table, and in each document the sentences covered by a run that is not the first of its kind, by (doc_id,
+From each sentence on, the run of RUN consecutive sentences, and of as many more as make up MIN_WORDS words, is hashed, and likewise one
+backwards from the end of each text, so that a copy is covered to its last sentence; equal runs are joined over the whole table, and in each document the sentences covered by a run that is not the first of its kind, by (doc_id,
 sentence), are removed. A sentence ends
 with its line or after . ! or ? that no letter or digit follows; parts without a word are no sentences and always stay.
 
@@ -26,6 +26,7 @@ from .shared import Scratch, id_and_text, read, slices
 
 RUN = 2
 MIN_WORDS = 15
+TAIL = 1 << 30  # added to the first sentence of a run that is taken from the end of its text
 
 
 def run_ends(row: np.ndarray, w0: np.ndarray, w1: np.ndarray, run_length: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +37,18 @@ def run_ends(row: np.ndarray, w0: np.ndarray, w1: np.ndarray, run_length: int, m
     return inside, (last < n) & (row[inside] == row)
 
 
+def tails(first: np.ndarray, w0: np.ndarray, w1: np.ndarray, last: np.ndarray, run_length: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of the shortest whole run at the end of each row, where no run from its first sentence on is the same."""
+    begin, end = first[:-1], first[1:]
+    rows = np.flatnonzero(end - begin >= run_length)
+    stop = end[rows] - 1
+    start = np.minimum(stop - run_length + 1, np.searchsorted(w0, w1[stop] - min_words, side="right") - 1)
+    ok = start >= begin[rows]
+    start, stop = start[ok], stop[ok]
+    own = last[start] != stop
+    return start[own], stop[own]
+
+
 def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """h, doc_id, s (number of the run's first sentence)."""
 
@@ -47,10 +60,12 @@ def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = M
                 continue
             last, whole = run_ends(row, w0, w1, run_length, min_words)
             at = np.flatnonzero(whole)
-            first = np.searchsorted(row, np.arange(batch.num_rows))
-            h = word_spans(sums, w0[at], w1[last[at]])
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            begin, end = tails(first, w0, w1, last, run_length, min_words)
+            h = word_spans(sums, w0[np.append(at, begin)], w1[np.append(last[at], end)])
+            at, mark = np.append(at, begin), np.repeat([0, TAIL], [len(at), len(begin)])
             r = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(r)), pa.array((at - first[r]).astype(np.int32))], ["h", "doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(r)), pa.array((at - first[r] + mark).astype(np.int32))], ["h", "doc_id", "s"])
 
     return id_and_text(docs).select("doc_id", "text").mapInArrow(run, "h long, doc_id long, s int")
 
@@ -80,6 +95,9 @@ def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN, min_words: int
                 gone = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(gone, at, 1)
                 np.add.at(gone, np.minimum(last[first[i] + at] - first[i] + 1, n), -1)
+                for r in runs:
+                    if TAIL <= r < TAIL + n:
+                        gone[r - TAIL] += 1
                 gone = np.cumsum(gone[:n]) > 0
                 keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
                 for a, b in zip(starts[first[i] : first[i + 1]][gone] - offsets[i], ends[first[i] : first[i + 1]][gone] - offsets[i]):

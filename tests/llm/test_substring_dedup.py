@@ -17,16 +17,25 @@ def brute(texts, n=2, least=15):
     for d, ss in enumerate(parts):
         real = [i for i, s in enumerate(ss) if WORD.search(s)]
         gone = set()
+        spans = []
         for k in range(len(real)):
             run, taken = (), 0
             while k + taken < len(real) and (taken < n or len(run) < least):
                 run += tuple(WORD.findall(ss[real[k + taken]]))
                 taken += 1
             if taken >= n and len(run) >= least:
-                if run in seen:
-                    gone |= set(real[k : k + taken])
-                else:
-                    seen[run] = d
+                spans.append((k, k + taken, run))
+        for k in range(len(real) - n, -1, -1):
+            run = tuple(w for i in real[k:] for w in WORD.findall(ss[i]))
+            if len(run) >= least:
+                if (k, len(real), run) not in spans:
+                    spans.append((k, len(real), run))
+                break
+        for a, b, run in spans:
+            if run in seen:
+                gone |= set(real[a:b])
+            else:
+                seen[run] = d
         if gone:
             out[d] = ("".join(s for i, s in enumerate(ss) if i not in gone), len(real), len(gone))
     return out
