@@ -18,10 +18,10 @@ def turns(messages: DataFrame, epoch: int = 1_700_000_000, step: int = 3600) ->
     m = messages.withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)}).where("role = 'user'")
     answer = F.when(F.col("next_role") == "assistant", F.col("next_text")).otherwise("")
     m = m.select("conv_id", "turn", F.col("text").alias("user_message"), answer.alias("system_response"))
-    before = Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each conversation
-    n = m.groupBy("conv_id").agg(F.count("*").alias("k")).select("conv_id", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
-    number = F.col("first") + F.row_number().over(w)
-    m = m.join(n, "conv_id").withColumn("number", number)
+    m = m.withColumn("block", F.shiftright("conv_id", 16))  # numbers run on over blocks of conversations, so only a row for each block is ordered in one task
+    n = m.groupBy("block").agg(F.count("*").alias("k"))
+    n = n.select("block", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    m = m.join(n, "block").withColumn("number", F.col("first") + F.row_number().over(Window.partitionBy("block").orderBy("conv_id", "turn")))
     return m.select("conv_id", "turn", F.concat(F.lit("CH"), F.col("number").cast("string")).alias("chunk_id"), (F.lit(epoch) + F.col("number") * step).alias("ts"), F.concat(F.lit("User: "), "user_message", F.lit("\n\nAssistant: "), "system_response").alias("text"), "user_message", "system_response")
 
 

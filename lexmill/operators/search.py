@@ -75,7 +75,7 @@ def rescore(index: Index, terms: DataFrame, candidates: DataFrame) -> DataFrame:
     of = candidates.select(*HIT).join(terms, "query_id")
     has = of.join(index.doc_keywords.select(*KEY, "stem", "keyword"), [*KEY, "stem"])
     found = has.groupBy(*HIT).agg(F.countDistinct("stem").alias("covered"), F.count(F.when(F.col("keyword") == F.col("term"), 1)).alias("exact"))
-    c = candidates.join(found, HIT, "left").join(F.broadcast(size), "query_id")
+    c = candidates.join(found, HIT, "left").join(size, "query_id")
     coverage = F.coalesce("covered", F.lit(0)).cast("double") / F.col("n_stems")
     exact = F.coalesce("exact", F.lit(0))
     boost = (1.0 + C.COVERAGE_WEIGHT * coverage * coverage) * (1.0 + F.least(exact * C.EXACT_STEP, F.lit(C.EXACT_MOST)))

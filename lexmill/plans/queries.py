@@ -347,7 +347,7 @@ def recall_at_8(spark, d):
     i = index(spark, d)
     q = items(spark, d).withColumn("needle", F.lower("query"))
     c = i.chunks.select("chunk_idx", F.lower("text").alias("hay"))
-    true = c.crossJoin(F.broadcast(q)).where(F.contains(F.col("hay"), F.col("needle"))).select("query_id", "chunk_idx")
+    true = c.crossJoin(q).where(F.contains(F.col("hay"), F.col("needle"))).select("query_id", "chunk_idx")
     hit = search.two_phase(i, items(spark, d)).join(true, ["query_id", "chunk_idx"]).select("query_id").distinct().withColumn("hit", F.lit(1))
     return true.select("query_id").distinct().join(hit, "query_id", "left").agg(F.count("*").alias("n_items"), F.count("hit").alias("n_found"))
 
