@@ -25,7 +25,7 @@ def ingest(files: DataFrame, path: str, batch_id: int) -> None:
     first = numbered.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
     c = c.join(first, "file").withColumn("chunk_idx", F.col("first") + F.col("n") - 1)
     table = c.select(
-        F.lit(batch_id + 1).alias("segment_id"), "chunk_idx", F.format_string("%s_%s_%d_%d", "clean", "type", F.lit(batch_id), F.col("chunk_idx") + 1).alias("chunk_id"), F.col("file").alias("source_file"), F.col("n").cast("long").alias("n"),
+        F.lit(batch_id + 1).alias("segment_id"), "chunk_idx", F.format_string("%s_%s_%d", "clean", "type", F.lit(batch_id * 10**9) + F.col("chunk_idx") + 1).alias("chunk_id"), F.col("file").alias("source_file"), F.col("n").cast("long").alias("n"),
         F.lit(0).cast("long").alias("token_start"), T.token_count(F.col("text")).alias("token_end"), T.summary(F.col("text")).alias("summary"), "text",
     )
     Index.create(table, path, batch_id + 1)
