@@ -27,25 +27,37 @@ MAX_RULES = 12
 MAX_CONDITIONS = 4
 
 
+COUNTS = {
+    "words": r"\S+", "spaces": r"\s", "upper": r"\p{Lu}", "digits": r"[0-9]", "symbols": r"[#$%&*@^~=+<>{}\[\]|\\_]", "exclaims": r"[!?]", "bars": r"[|]", "stops": r"[.,;:]", "breaks": r"\n",
+}
+STATISTICS = {
+    "n_chars": (("chars",), lambda r: r["chars"]),
+    "n_words": (("words",), lambda r: r["words"]),
+    "mean_word": (("chars", "spaces", "words"), lambda r: _per(r["chars"] - r["spaces"], r["words"])),
+    "upper": (("upper", "chars"), lambda r: _per(r["upper"], r["chars"])),
+    "digits": (("digits", "chars"), lambda r: _per(r["digits"], r["chars"])),
+    "symbols": (("symbols", "words"), lambda r: _per(r["symbols"], r["words"])),
+    "exclaims": (("exclaims", "words"), lambda r: _per(r["exclaims"], r["words"])),
+    "bars": (("bars", "words"), lambda r: _per(r["bars"], r["words"])),
+    "stops": (("stops", "words"), lambda r: _per(r["stops"], r["words"])),
+    "lines": (("breaks", "words"), lambda r: _per(r["breaks"] + 1.0, r["words"])),
+}
+
+
+def _per(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def counts(text: Column, names: set[str] | None = None) -> dict[str, Column]:
+    """What is counted in a text, as doubles: characters and matches."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return {n: (F.length(t) if n == "chars" else F.regexp_count(t, F.lit(COUNTS[n]))).cast("double") for n in ("chars", *COUNTS) if names is None or n in names}
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Named statistics of a text, as doubles."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    chars = F.length(t).cast("double")
-    n_words = count(r"\S+")
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return {
-        "n_chars": chars,
-        "n_words": n_words,
-        "mean_word": per(chars - count(r"\s"), n_words),
-        "upper": per(count(r"\p{Lu}"), chars),
-        "digits": per(count(r"[0-9]"), chars),
-        "symbols": per(count(r"[#$%&*@^~=+<>{}\[\]|\\_]"), n_words),
-        "exclaims": per(count(r"[!?]"), n_words),
-        "bars": per(count(r"[|]"), n_words),
-        "stops": per(count(r"[.,;:]"), n_words),
-        "lines": per(count(r"\n") + 1.0, n_words),
-    }
+    r = counts(text)
+    return {n: f(r) for n, (_, f) in STATISTICS.items()}
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -163,16 +175,20 @@ def expressions(rules: list[dict], stats: dict[str, Column]) -> tuple[Column, Co
 
 
 def with_statistics(docs: DataFrame, rules: list[dict]) -> tuple[DataFrame, dict[str, Column]]:
-    """docs with the statistics that the rules use. They come out of a generator of one row, which no condition is pushed through: else
-    each condition of each rule would compute its statistic anew.
+    """docs with the counts that the rules need, each made once, and the statistics as expressions of these.
+
+    The counts come out of a generator of one row, which no condition is pushed through: else each condition would count anew.
     """
     used = {c[0] for r in rules for c in r["conditions"]}
-    stats = {n: c for n, c in statistics(F.col("text")).items() if n in used}
-    if not stats:
+    needed = {n for s in used for n in STATISTICS[s][0]}
+    if not needed:
         return docs, {}
-    names = {n: own_name(docs, f"__{n}") for n in stats}
-    one = F.inline(F.array(F.struct(*[c.alias(names[n]) for n, c in stats.items()])))
-    return docs.select("*", one), {n: F.col(c) for n, c in names.items()}
+    made = {n: own_name(docs, f"__count_{n}") for n in needed}
+    kept = {n: own_name(docs, f"__{n}") for n in needed}
+    d = docs.select("*", *[c.alias(made[n]) for n, c in counts(F.col("text"), needed).items()])
+    d = d.select("*", F.inline(F.array(F.struct(*[F.col(made[n]).alias(kept[n]) for n in sorted(needed)]))))
+    raw = {n: F.col(c) for n, c in kept.items()}
+    return d, {s: STATISTICS[s][1](raw) for s in used}
 
 
 def decide(docs: DataFrame, rules: list[dict]) -> DataFrame:
