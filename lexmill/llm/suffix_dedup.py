@@ -6,11 +6,13 @@ words. A suffix array here is a table of sampled suffixes in the order of their
 
 Documents come in batches. A batch's suffix array is merge-scanned (a sort-merge join) against the levels that exist and itself; it
 then becomes a level, and two levels of equal rank merge into one of the next, so that each suffix is rewritten only
-log2(batches) times. Suffixes that match are chained along their diagonal (same two documents, same shift), and a chain is extended
-word by word in both documents' texts by up to MIN_WORDS - 1 words a side. Chains of MIN_WORDS words and more are the result.
+log2(batches) times. This tells which suffixes more than one document holds. All their holders then give the stretches of MIN_WORDS words around
+them, and each stretch is matched with its first place (by doc_id, place). Stretches that match are chained along their diagonal
+(same two documents, same shift), and a chain is extended word by word in both documents' texts by up to MIN_WORDS - 1 words a side.
 
-A document is compared with the documents that first hold one of its sampled suffixes (by batch, doc_id, place), not with every
-other copy, so a passage in thousands of documents gives one match for each and not their square. Where the middle of a match
+A document is compared with the documents that first hold one of its stretches of MIN_WORDS words, not with every
+other copy, so a passage in thousands of documents gives one match for each and not their square. Any two documents that share such a stretch
+are matched with each other or both with its first holder, whoever holds a shorter part of it. Where the middle of a match
 is first held by a third document, the match with the second may be reported in parts. Matches inside one document are not reported. Words are compared in lower case, without punctuation. Null, empty and short texts have no match; rows
 without doc_id are left out; rows that share a doc_id are one document and do not match each other.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, buffers, grams, signed, winnow, words
+from .kernels import ALL, U64, _sliding, buffers, grams, signed, winnow, words
 from .shared import Scratch, id_and_text, read, slices
 
 MIN_WORDS = 50
@@ -55,8 +57,8 @@ def _array(entries: DataFrame) -> DataFrame:
     return entries.groupBy("h").agg(F.min(F.struct("batch", "doc_id", "pos")).alias("f")).select("h", "f.batch", "f.doc_id", "f.pos")
 
 
-def suffix_matches(entries: DataFrame, batches: int, scratch: Scratch) -> DataFrame:
-    """doc_id, pos, m_doc, m_pos: each sampled suffix that has come before, in another document."""
+def shared_suffixes(entries: DataFrame, batches: int, scratch: Scratch) -> DataFrame:
+    """h of the sampled suffixes that more than one document holds."""
     levels: dict[int, tuple[str, DataFrame]] = {}
     found = None
     for b in range(batches):
@@ -65,8 +67,8 @@ def suffix_matches(entries: DataFrame, batches: int, scratch: Scratch) -> DataFr
         index = carry[1]
         for _, level in levels.values():
             index = index.unionByName(level)
-        firsts = _array(index).select("h", F.col("doc_id").alias("m_doc"), F.col("pos").alias("m_pos"))
-        hits = new.join(firsts, "h").where("doc_id != m_doc").select("doc_id", "pos", "m_doc", "m_pos")
+        firsts = _array(index).select("h", F.col("doc_id").alias("m_doc"))
+        hits = new.join(firsts, "h").where("doc_id != m_doc").select("h").distinct()
         hits = scratch.write(hits, f"hits-{b}")
         found = hits if found is None else found.unionByName(hits)
         rank = 0
@@ -82,8 +84,43 @@ def suffix_matches(entries: DataFrame, batches: int, scratch: Scratch) -> DataFr
     return found
 
 
-def chains(hits: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, m_doc, lo, hi, m_lo, m_hi: stretches of the two documents that are equal through overlapping suffixes."""
+def stretches(docs: DataFrame, places: DataFrame, width: int, k: int = K) -> DataFrame:
+    """doc_id, pos, w (fingerprint): the stretches of `width` words whose suffix of the least fingerprint is at one of the places.
+
+    That suffix depends on the stretch alone and is always sampled, so equal stretches are left out everywhere or nowhere.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, "text"):
+            data, offsets = buffers(batch.column(1))
+            _, _, row, h = words(data, offsets)
+            g, _ = grams(h, row, k)
+            w, valid = grams(h, row, width)
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = batch.column(2)
+            r = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            at = first[r] + lists.flatten().to_numpy()
+            at = at[at + k <= first[r + 1]]  # another row of the same doc_id may be shorter
+            chosen = np.full(len(g), ALL)
+            chosen[at] = g[at]
+            least, least_chosen = (_sliding(x, width - k + 1, np.minimum, ALL)[: len(w)] for x in (g, chosen))
+            s = np.flatnonzero(valid & (least_chosen == least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[s])), pa.array((s - first[row[s]]).astype(np.int32)), pa.array(signed(w[s]))], ["doc_id", "pos", "w"])
+
+    asked = places.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    d = id_and_text(docs, lower=True).join(asked, "doc_id").select("doc_id", "text", "places")
+    return d.mapInArrow(run, "doc_id long, pos int, w long")
+
+
+def first_matches(found: DataFrame) -> DataFrame:
+    """doc_id, pos, m_doc, m_pos: each stretch that a document of a lesser doc_id has too, with its first place."""
+    order = Window.partitionBy("w").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    f = found.select("doc_id", "pos", F.first(F.struct("doc_id", "pos")).over(order).alias("f"))
+    return f.where("doc_id != f.doc_id").select("doc_id", "pos", F.col("f.doc_id").alias("m_doc"), F.col("f.pos").alias("m_pos"))
+
+
+def chains(hits: DataFrame, k: int = MIN_WORDS) -> DataFrame:
+    """doc_id, m_doc, lo, hi, m_lo, m_hi: spans of the two documents that are equal through overlapping stretches of k words."""
     order = Window.partitionBy("doc_id", "m_doc", "shift").orderBy("pos")
     h = hits.select("doc_id", "m_doc", "pos", (F.col("pos") - F.col("m_pos")).alias("shift")).distinct()
     h = h.withColumn("new", (F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(-(1 << 30))) > k).cast("int"))
@@ -138,11 +175,13 @@ def long_matches(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, batche
     """doc_id, start_word, end_word, match_doc_id, match_start_word, n_words."""
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     entries = scratch.write(sampled_suffixes(docs, min_words, k, batches), "suffixes", partition_by="batch")
-    hits = suffix_matches(entries, batches, scratch)
+    shared = shared_suffixes(entries, batches, scratch)
+    places = scratch.write(entries.join(shared, "h", "left_semi").select("doc_id", "pos"), "places")
     scratch.drop("suffixes")
-    c = scratch.write(chains(hits, k), "chains")
     for b in range(batches):
         scratch.drop(f"hits-{b}")
+    c = scratch.write(chains(first_matches(stretches(docs, places, min_words, k)), min_words), "chains")
+    scratch.drop("places")
     spans = c.select("doc_id", "lo", "hi").unionByName(c.select(F.col("m_doc").alias("doc_id"), F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi")))
     ctx = scratch.write(contexts(docs, spans, min_words - 1), "contexts")
     other = ctx.select(F.col("doc_id").alias("m_doc"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"), F.col("left").alias("m_left"), F.col("right").alias("m_right"))

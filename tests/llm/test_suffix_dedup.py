@@ -43,6 +43,25 @@ def test_against_brute_force(spark):
         assert pair in linked or any(frozenset((a, c)) in linked and frozenset((b, c)) in linked for c in range(len(texts)))
 
 
+def test_shorter_stretches_of_others_hide_no_match(spark):
+    rng = random.Random(11)
+    texts, pairs = [], []
+    around = lambda p: f"{corpus.prose(rng, 30)} a{rng.randrange(10**9)} {p} z{rng.randrange(10**9)} {corpus.prose(rng, 30)}"
+    for trial in range(40):
+        inner = corpus.prose(rng, 40)
+        left, right = corpus.prose(rng, 8), corpus.prose(rng, 7)
+        texts += [around(inner) for _ in range(4)]  # 40 words, which is no match
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [around(f"{left} {inner} {right}") for _ in range(2)]
+    twice = corpus.prose(rng, 30)  # a document's second place, not its first, is the match
+    left, right = corpus.prose(rng, 15), corpus.prose(rng, 15)
+    pairs.append((len(texts), len(texts) + 1))
+    texts += [around(twice) + around(f"{left} {twice} {right}"), around(f"{left} {twice} {right}")]
+    got = suffix_dedup.long_matches(corpus.docs(spark, texts)).collect()
+    assert {frozenset((r.doc_id, r.match_doc_id)) for r in got} == {frozenset(p) for p in pairs}
+    assert all(r.n_words in (55, 60) for r in got) and len(got) == len(pairs)
+
+
 def test_edges(spark):
     got = suffix_dedup.long_matches(corpus.edges(spark)).collect()
     assert {frozenset((r.doc_id, r.match_doc_id)) for r in got} == {frozenset((5, 6))}
