@@ -6,9 +6,10 @@ an element's own permutation of the M registers; a register keeps the element th
 its next arrival is later than the latest register of its document. Equal registers then estimate the probability Jaccard
 similarity. All elements of all documents of a slice advance together, one arrival a round.
 
-Documents with equal bands of R registers are candidates: each with the least doc_id of its bucket and with the one
-before it. Each candidate pair is verified on the whole texts with the exact probability Jaccard similarity. Documents joined by
-verified pairs, also through others, are a group. With 40 bands of 4, a pair at the threshold of 0.5 shares a band with probability 0.92, at 0.6 with 0.996.
+Documents with equal bands of R registers are candidates. Each candidate pair is verified on the whole texts with the exact probability
+Jaccard similarity. Documents joined by verified pairs, also through others, are a group. Each document is first compared with the
+least doc_id of its bucket and with the one before it, which joins most groups; then all other pairs of a bucket whose documents are
+not in one group yet are. So each pair of a bucket is in one group or was rejected, whatever else fills the bucket. With 40 bands of 4, a pair at the threshold of 0.5 shares a band with probability 0.92, at 0.6 with 0.996.
 
 Null and empty texts, and texts without a word, have no signature and no partner. Rows without doc_id are left out. Rows that share a
 doc_id are no pair; both carry what the id gets. Other columns are ignored.
@@ -117,14 +118,31 @@ def bands(docs: DataFrame, n: int = N, m: int = M, count: int = BANDS, r: int =
     return id_and_text(docs, lower=True).select("doc_id", "text").mapInArrow(run, "band long, doc_id long")
 
 
-def candidates(docs: DataFrame, **banding) -> DataFrame:
-    """Distinct pairs a > b that share a band."""
+def buckets(docs: DataFrame, **banding) -> DataFrame:
+    """band, doc_id: the bands that more than one document has."""
+    of = Window.partitionBy("band")
+    b = bands(docs, **banding).withColumn("least", F.min("doc_id").over(of)).withColumn("most", F.max("doc_id").over(of))
+    return b.where("least != most").select("band", "doc_id")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs a > b of a bucket: each document with the least one and the one before it."""
     order = Window.partitionBy("band").orderBy("doc_id")
-    b = bands(docs, **banding).select("doc_id", F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.lag("doc_id").over(order).alias("before"))
+    b = members.select("doc_id", F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.lag("doc_id").over(order).alias("before"))
     pairs = b.where("doc_id > least").select(F.col("doc_id").alias("a"), F.explode(F.array("least", "before")).alias("b")).where("a > b")
     return pairs.distinct()
 
 
+def remaining(members: DataFrame, group: DataFrame, done: DataFrame) -> DataFrame:
+    """Distinct pairs a > b of a bucket that are in different groups and not among those done."""
+    m = members.distinct().join(group, "doc_id", "left").select("band", "doc_id", F.coalesce("group_id", "doc_id").alias("g"))
+    mixed = m.groupBy("band").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least != most").select("band")
+    m = m.join(mixed, "band", "left_semi")
+    a, b = (m.select("band", F.col("doc_id").alias(n), F.col("g").alias(f"g{n}")) for n in "ab")
+    pairs = a.join(b, "band").where("a > b and ga != gb").select("a", "b").distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity of the pairs whose exact similarity reaches the threshold."""
 
@@ -172,9 +190,17 @@ def groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, duplicate_of: a pair for each document of a group but its first; duplicate_of is the group's least doc_id."""
     scratch = Scratch(docs.sparkSession, "prob_minhash")
-    pairs = scratch.write(candidates(docs), "pairs")
-    edges = verified(docs, pairs, threshold=threshold)
-    return groups(edges, scratch).select("doc_id", F.col("group_id").alias("duplicate_of"))
+    members = scratch.write(buckets(docs), "buckets")
+    pairs = scratch.write(candidates(members), "pairs")
+    edges = scratch.write(verified(docs, pairs, threshold=threshold).select("a", "b"), "verified")
+    group = groups(edges, scratch)
+    rest = scratch.write(remaining(members, group, pairs), "remaining")
+    scratch.drop("buckets")
+    more = scratch.write(verified(docs, rest, threshold=threshold).select("a", "b"), "verified-remaining")
+    scratch.drop("remaining")
+    if not more.isEmpty():
+        group = groups(group.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).unionByName(more), Scratch(docs.sparkSession, "prob_minhash"))
+    return group.select("doc_id", F.col("group_id").alias("duplicate_of"))
 
 
 def apply(docs: DataFrame) -> DataFrame:

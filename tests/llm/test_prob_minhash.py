@@ -70,6 +70,36 @@ def test_recall_against_brute_force(spark):
     assert all(root(d) == root(g) for d, g in found.items())
 
 
+def test_shared_passage_hides_no_pair(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"u{rng.randrange(10**12)}" for _ in range(n)]
+    passage, texts = corpus.words(rng, 60), []
+    for i in range(90):  # of any two about 0.43 of the shingles are equal, of the pairs 0.55
+        own = fresh(40)
+        texts.append(" ".join(passage + own))
+        if i % 3 == 0:
+            texts.append(" ".join(passage + own[:12] + fresh(28)))
+    rng.shuffle(texts)
+    docs = corpus.docs(spark, texts)
+    sets = [set(shingles(t)) for t in texts]
+    of_band = {}
+    for r in pm.bands(docs).collect():
+        of_band.setdefault(r.band, set()).add(r.doc_id)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in {(i, j) for ids in of_band.values() for i in ids for j in ids if i > j}:
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= pm.THRESHOLD:  # no shingle occurs twice
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    expected = {i: root(i) for i in range(len(texts)) if root(i) != i}
+    assert len(expected) > 20
+    assert {r.doc_id: r.duplicate_of for r in pm.duplicates(docs).collect()} == expected
+
+
 def test_long_chains_have_one_group(spark):
     from lexmill.llm.shared import Scratch
 
