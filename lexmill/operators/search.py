@@ -169,3 +169,27 @@ def refine(search: Callable[[str, int], DataFrame], query: str, k: int, previews
             break
         text = reply.split("REFINE:", 1)[1].strip() or f"{query} {query}"
     return hits.where(F.col("rank") <= k)
+
+
+def refine_all(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, k: int, previews: Callable[[DataFrame], dict[int, list[str]]], judge: Judge, rounds: int = C.REFINE_ROUNDS) -> DataFrame:
+    """refine() for each query of a table: a round searches at once for all queries whose judge isn't content yet."""
+    spark = queries.sparkSession
+    asked = {r.query_id: r.query for r in queries.select(F.col("query_id").cast("long").alias("query_id"), "query").collect()}
+    hits, texts = None, dict(asked)
+    for _ in range(rounds):
+        table = spark.createDataFrame(list(texts.items()), "query_id long, query string")
+        found = search(table, k)
+        hits = merged(hits, found) if hits is not None else merged(found)
+        shown = previews(hits.where(F.col("rank") <= k).join(table.select("query_id"), "query_id", "left_semi"))
+        following = {}
+        for i in texts:
+            try:
+                reply = judge(asked[i], shown.get(i, []))
+            except Exception:  # noqa: BLE001 - the judge is the caller's
+                reply = "FOUND"
+            if "FOUND" not in reply and "REFINE:" in reply:
+                following[i] = reply.split("REFINE:", 1)[1].strip() or f"{asked[i]} {asked[i]}"
+        texts = following
+        if not texts:
+            break
+    return hits.where(F.col("rank") <= k)

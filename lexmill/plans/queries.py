@@ -307,18 +307,21 @@ def merged_rounds(spark, d):
 
 @query
 def refined_search(spark, d):
-    """The refinement loop with a judge that asks once for other terms."""
+    """The refinement loop for each item, with a judge that asks once for other terms."""
     i = index(spark, d)
-    asked = []
+    seen = []
 
     def judge(question: str, previews: list[str]) -> str:
-        asked.append(question)
-        return "REFINE: of the " + previews[0] if len(asked) == 1 and previews else "FOUND"
+        return "REFINE: of the " + previews[0] if len(seen) == 1 and previews else "FOUND"
 
-    first = items(spark, d).orderBy("query_id").first()
-    one = lambda text, k: search.two_phase(i, spark.createDataFrame([(first.query_id, text)], "query_id long, query string"), k)
-    texts = lambda hits: [r.text[: C.JUDGE_CHARS] for r in i.chunks.where(F.col("chunk_idx").isin([h.chunk_idx for h in hits])).orderBy("chunk_idx").collect()]
-    return _hits(search.refine(one, first.query, C.TOP_K, texts, judge))
+    def previews(hits: DataFrame) -> dict[int, list[str]]:
+        seen.append(1)
+        out: dict[int, list[str]] = {}
+        for r in hits.select("query_id", *ix.KEY).join(i.chunks.select(*ix.KEY, F.substring("text", 1, C.JUDGE_CHARS).alias("text")), ix.KEY).orderBy("query_id", "chunk_idx").collect():
+            out.setdefault(r.query_id, []).append(r.text)
+        return out
+
+    return _hits(search.refine_all(lambda q, k: search.two_phase(i, q, k), items(spark, d), C.TOP_K, previews, judge))
 
 
 def _with_text(spark, d, k):

@@ -181,3 +181,21 @@ def test_context(spark):
     assert context.rerank(hits, broken).orderBy("rank").collect()[0].chunk_id == "c1"
     assert context.rerank(hits, lambda q, t: [float(x[-1]) for x in t]).orderBy("rank").collect()[0].chunk_id == "c2"
     assert context.scan(hits, lambda q, t: False).count() == 2 and context.scan(hits, lambda q, t: t.endswith("2")).first().chunk_id == "c2"
+
+
+def test_refined_search_covers_every_item(spark):
+    from lexmill.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    i, items = queries.index(spark, d), queries.items(spark, d)
+    got = {}
+    for r in queries.refined_search(spark, d).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_idx, r.score))
+    searched = {r.query_id for r in search.two_phase(i, items).select("query_id").distinct().collect()}
+    assert set(got) == searched and len(searched) > 1
+    item = items.orderBy(F.desc("query_id")).first()  # and each as by itself
+    calls = []
+    one = lambda text, k: search.two_phase(i, spark.createDataFrame([(item.query_id, text)], "query_id long, query string"), k)
+    texts = lambda hits: [r.text[: C.JUDGE_CHARS] for r in i.chunks.where(F.col("chunk_idx").isin([h.chunk_idx for h in hits])).orderBy("chunk_idx").collect()]
+    alone = search.refine(one, item.query, C.TOP_K, texts, lambda q, p: calls.append(q) or ("REFINE: of the " + p[0] if len(calls) == 1 and p else "FOUND"))
+    assert sorted(got[item.query_id]) == [(r["rank"], r.chunk_idx, round(r.score, 6)) for r in alone.orderBy("rank").collect()]
