@@ -59,6 +59,11 @@ _WORD[ord("A") : ord("Z") + 1] = True
 _WORD[ord("a") : ord("z") + 1] = True
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word."""
+    return _WORD[data]
+
+
 def row_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, side="right") - 1
 
@@ -120,21 +125,10 @@ def _sliding(x: np.ndarray, w: int, op, pad) -> np.ndarray:
     return out
 
 
-def winnow(g: np.ndarray, valid: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
-    """Indices of the entries that are the least of some w consecutive valid ones of their row.
-
-    Any two equal stretches of w entries therefore have a chosen entry in common. Entries of a row are consecutive.
-    """
-    n = len(g)
-    if n < w:
-        return np.zeros(0, np.int64)
-    least = _sliding(np.where(valid, g, ALL), w, np.minimum, ALL)
-    whole = np.zeros(n, dtype=bool)
-    last = n - w + 1
-    whole[:last] = valid[:last] & valid[w - 1 :] & (row[:last] == row[w - 1 : n])
-    best = np.where(whole, least, U64(0))
-    most = _sliding(best[::-1], w, np.maximum, U64(0))[::-1]
-    return np.flatnonzero(valid & (most == g) & (most > 0))
+def leftmost_least(x: np.ndarray, w: int) -> np.ndarray:
+    """For each i the index of the least of x[i : i + w] by its upper 40 bits, the leftmost of equal ones. For fewer than 2 ** 24 entries."""
+    low = U64((1 << 24) - 1)
+    return (_sliding((x & ~low) | np.arange(len(x), dtype=np.uint64), w, np.minimum, ALL) & low).astype(np.int64)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, local mode gets a temporary one and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -84,8 +87,6 @@ SLICE_BYTES = 4 << 20
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices with at most `size` bytes of the column (one row at least), to bound a worker's memory."""
-    import numpy as np
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -97,3 +98,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = min(end, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+
+
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], overlap: int, with_batch: bool = False, size: int = PIECE_BYTES) -> Iterator[tuple]:
+    """Slices of batches with doc_id and text, as (ids, base, data, offsets): texts of at most `size` bytes whole, with base 0.
+
+    A longer text comes in pieces that end between words and have `overlap` words in common; base is the number of a piece's first word.
+    """
+    from .kernels import buffers, word_bytes
+
+    for batch in slices(batches, size=SLICE_BYTES // 2):
+        data, offsets = buffers(batch.column(1))
+        end = len(data)
+        start, base = 0, 0
+        while start < end or start == 0:
+            stop, reach = end, size
+            if batch.num_rows == 1:
+                while start + reach < end:
+                    mask = word_bytes(data[start : start + reach])
+                    begins = np.flatnonzero(mask & ~np.concatenate(([False], mask[:-1])))
+                    if len(begins) > overlap + 1:  # the last word may go on beyond
+                        stop = start + int(begins[-1])
+                        break
+                    reach *= 2
+            part = data[start:stop]
+            found = (batch.column(0), base, part, offsets if stop - start == end else np.array([0, len(part)]))
+            yield (*found, batch) if with_batch else found
+            if stop == end:
+                break
+            base, start = base + len(begins) - 1 - overlap, start + int(begins[-1 - overlap])

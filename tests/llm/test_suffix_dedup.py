@@ -30,17 +30,69 @@ def test_against_brute_force(spark):
         for d in rng.sample(range(40), 3):
             texts[d] = corpus.prose(rng, rng.randrange(0, 80)) + " begin%d " % rng.randrange(10**6) + passage + " end%d. " % rng.randrange(10**6) + texts[d]
     texts.append(texts[7])
-    expected = brute(texts)
+    found = suffix_dedup.long_matches(corpus.docs(spark, texts)).cache()
+    longest = brute(texts)
+    assert all(50 <= r.n_words <= longest[r.doc_id, r.match_doc_id] for r in found.collect())
+    assert lengths(found) == {(i, j): n for (i, j), n in longest.items() if i > j}
+
+
+def lengths(found):
+    """Longest match of each pair of documents, later one first."""
     got = {}
-    for r in suffix_dedup.long_matches(corpus.docs(spark, texts)).collect():
-        got[r.doc_id, r.match_doc_id] = max(got.get((r.doc_id, r.match_doc_id), 0), r.n_words)
-    assert got and all(50 <= v <= expected[k] for k, v in got.items())
-    assert sum(expected[k] == v for k, v in got.items()) >= 0.8 * len(got)  # the others are reported in parts
-    groups = lambda pairs: {frozenset(p) for p in pairs}
-    linked = groups(got)
-    for pair in groups(expected):  # directly, or both with the document that has it first
-        a, b = pair
-        assert pair in linked or any(frozenset((a, c)) in linked and frozenset((b, c)) in linked for c in range(len(texts)))
+    for r in suffix_dedup.pairs(found).collect():
+        got[r.doc_id, r.other_doc_id] = max(got.get((r.doc_id, r.other_doc_id), 0), r.n_words)
+    return got
+
+
+def test_nested_copies(spark):
+    """Parts of one long passage, cut at random, in many documents: any of them may hold the middle of a match first."""
+    rng = random.Random(8)
+    passage = corpus.words(rng, 260)
+    texts = []
+    for i in range(36):
+        a = rng.randrange(0, 200)
+        b = a + rng.randrange(30, 200)
+        texts.append(f"{corpus.prose(rng, rng.randrange(0, 40))} a{i} {' '.join(passage[a:b])} z{i} {corpus.prose(rng, rng.randrange(0, 40))}")
+    longest = {(i, j): n for (i, j), n in brute(texts).items() if i > j}
+    assert len(longest) > 200
+    for batches in (1, 3, 8):
+        assert lengths(suffix_dedup.long_matches(corpus.docs(spark, texts), batches=batches)) == longest
+
+
+def test_three_documents(spark):
+    """The middle of a match is first held by a third document, as 40 words that are no match."""
+    rng = random.Random(21)
+    texts, pairs = [], set()
+    for t in range(60):
+        left, middle, right = (corpus.prose(rng, n) for n in (12, 40, 12))
+        texts += [f"{corpus.prose(rng, 20)} x{t} {middle} y{t}"] + [f"{corpus.prose(rng, 20)} {c}{t} {left} {middle} {right} {c}{c}{t}" for c in "pq"]
+        pairs.add((len(texts) - 1, len(texts) - 2))
+    assert lengths(suffix_dedup.long_matches(corpus.docs(spark, texts))) == dict.fromkeys(pairs, 64)
+
+
+def test_family_merges_equal_levels(spark):
+    from lexmill.llm.shared import Scratch
+
+    family = suffix_dedup.SuffixFamily(Scratch(spark, "test"), 4)
+    rows = lambda *x: spark.createDataFrame(x, "h long, doc_id long")
+    found = [sorted(r.h for r in family.append(rows(*x)).distinct().collect()) for x in ([(1, 0), (2, 0), (2, 0), (3, 1)], [(2, 2), (3, 2), (4, 2), (4, 3)], [(4, 4)], [(9, 5), (1, 6)], [(9, 5), (7, 7)])]
+    assert found == [[], [2, 3, 4], [4], [1], []]  # 9 is held by document 5 alone
+    assert sorted(family.levels) == [0, 2]
+    assert sorted(map(tuple, spark.table(family.levels[2]).collect())) == [(1, 0, 6), (2, 0, 2), (3, 1, 2), (4, 2, 4), (9, 5, 5)]
+    scan = spark.table(family.levels[0]).join(spark.table(family.levels[2]).hint("merge"), "h")
+    assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+    family.close()
+
+
+def test_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = corpus.prose(rng, 700)
+    texts = [f"{corpus.prose(rng, 3000)} a {shared} b {corpus.prose(rng, 900)}", f"{corpus.prose(rng, 500)} c {shared} d", "x" * 9000 + " " + corpus.prose(rng, 300)]
+    whole = sorted(map(tuple, suffix_dedup.long_matches(corpus.docs(spark, texts)).collect()))
+    assert whole == [(1, 501, 1201, 0, 3001, 700)]
+    in_pieces = suffix_dedup.pieces
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda it, overlap, **x: in_pieces(it, overlap, size=2000, **x))
+    assert sorted(map(tuple, suffix_dedup.long_matches(corpus.docs(spark, texts)).collect())) == whole
 
 
 def test_shorter_stretches_of_others_hide_no_match(spark):
