@@ -8,7 +8,8 @@ its first and last hash, settles these. The result is a keep bitmap for each doc
 
 Blank lines (white space only) are always kept. Lines are compared without white space at their ends. Null and empty
 texts have one blank line. Rows without doc_id have no line order and are left out of the bitmaps; repeated rows with the
-same doc_id and text are one document; different texts under one doc_id are told apart by text_hash.
+same doc_id and text are one document; different texts under one doc_id are told apart by text_hash. An empty table has no
+bitmap. Of a very long text only a hash and a number for each line leave its task. bitmaps() leaves other columns out, apply() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, id_and_text, own_name, read
 
-_TRIM = r"^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$"
+_BLANK = " \t\r\f\x0b"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,14 +43,14 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     d = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.regexp_replace("line", _TRIM, "")
+    line = F.btrim("line", F.lit(_BLANK))
     return d.select(F.when(line != "", F.xxhash64(line)).alias("h"), "doc_id", "text_hash", "pos")
 
 
 def marked_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, pos, keep for each line."""
     spark = docs.sparkSession
-    lines = _lines(docs)
+    lines = scratch.write(_lines(docs), "lines")  # read three times: for the ranges, for the rows, and for blank lines
     ordered = lines.where("h is not null").repartitionByRange("h", "doc_id", "text_hash", "pos").sortWithinPartitions("h", "doc_id", "text_hash", "pos")
     schema = "h long, doc_id long, text_hash long, pos int, first boolean, leads boolean"
     marks = scratch.write(ordered.mapInArrow(_mark, schema).withColumn("part", F.spark_partition_id()), "marks")
