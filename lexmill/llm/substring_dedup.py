@@ -2,13 +2,13 @@
 
 From each sentence on, the run of RUN consecutive sentences, and of as many more as make up MIN_WORDS words, is hashed, and likewise one
 backwards from the end of each text, so that a copy is covered to its last sentence; equal runs are joined over the whole table, and in each document the sentences covered by a run that is not the first of its kind, by (doc_id,
-sentence), are removed. A sentence ends
+hash of the text, sentence), are removed. A sentence ends
 with its line or after . ! or ? that no letter or digit follows; parts without a word are no sentences and always stay.
 
 The firsts are found by an aggregation that combines in the map tasks, so that a run that is everywhere does not gather in one
 task; only hashes that repeat are joined back, and only documents that lose a sentence are returned. Null and empty texts and texts without
-a whole run lose nothing. Rows without doc_id are left out. Rows that share a doc_id are one document: their runs
-do not repeat each other, and each row is cut alike. Case and punctuation inside a run: words are compared as they are
+a whole run lose nothing; an empty table gives an empty one; very long texts are cut whole, as one row of Arrow. Rows without doc_id are left out, and so are columns but
+doc_id and text. Repeated rows with the same doc_id and text are one document and cut alike; different texts under one doc_id are different documents. Case and punctuation inside a run: words are compared as they are
 written, what stands between them is not.
 """
 
@@ -50,11 +50,11 @@ def tails(first: np.ndarray, w0: np.ndarray, w1: np.ndarray, last: np.ndarray, r
 
 
 def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """h, doc_id, s (number of the run's first sentence)."""
+    """h, doc_id, v (a hash that tells texts of one doc_id apart), s (number of the run's first sentence)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it, "text"):
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             starts, _, row, w0, w1, sums = sentences(data, offsets)
             if not len(starts):
                 continue
@@ -65,18 +65,18 @@ def runs_of_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = M
             h = word_spans(sums, w0[np.append(at, begin)], w1[np.append(last[at], end)])
             at, mark = np.append(at, begin), np.repeat([0, TAIL], [len(at), len(begin)])
             r = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(r)), pa.array((at - first[r] + mark).astype(np.int32))], ["h", "doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array((at - first[r] + mark).astype(np.int32))], ["h", "doc_id", "v", "s"])
 
-    return id_and_text(docs).select("doc_id", "text").mapInArrow(run, "h long, doc_id long, s int")
+    return id_and_text(docs).select("doc_id", F.hash("text").alias("v"), "text").mapInArrow(run, "h long, doc_id long, v int, s int")
 
 
 def repeats(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, runs (first sentences of its runs that have come before), first_doc_ids (where they came first)."""
+    """doc_id, v, runs (first sentences of its runs that have come before), first_doc_ids (where they came first)."""
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     spans = scratch.write(runs_of_sentences(docs, run_length, min_words), "spans")
-    firsts = spans.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.s").alias("f_s"))
-    later = spans.join(firsts, "h").where("doc_id != f_doc or s != f_s")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("runs"), F.sort_array(F.collect_set("f_doc")).alias("first_doc_ids"))
+    firsts = spans.groupBy("h").agg(F.min(F.struct("doc_id", "v", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.v").alias("f_v"), F.col("f.s").alias("f_s"))
+    later = spans.join(firsts, "h").where("doc_id != f_doc or v != f_v or s != f_s")
+    return later.groupBy("doc_id", "v").agg(F.sort_array(F.collect_set("s")).alias("runs"), F.sort_array(F.collect_set("f_doc")).alias("first_doc_ids"))
 
 
 def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -107,7 +107,7 @@ def cut(docs: DataFrame, found: DataFrame, run_length: int = RUN, min_words: int
                 removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(removed, pa.int32()), batch.column(3)], ["doc_id", "text", "n_sentences", "n_removed", "first_doc_ids"])
 
-    both = id_and_text(docs).join(found, "doc_id").select("doc_id", "text", "runs", "first_doc_ids")
+    both = id_and_text(docs).withColumn("v", F.hash("text")).join(found, ["doc_id", "v"]).select("doc_id", "text", "runs", "first_doc_ids")
     return both.mapInArrow(run, "doc_id long, text string, n_sentences int, n_removed int, first_doc_ids array<long>")
 
 

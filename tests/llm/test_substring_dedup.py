@@ -58,3 +58,15 @@ def test_edges(spark):
     got = substring_dedup.remove_repeats(corpus.edges(spark)).collect()
     assert [(r.doc_id, r.n_sentences, r.n_removed, list(r.first_doc_ids)) for r in got] == [(6, 23, 23, [5])]
     assert substring_dedup.remove_repeats(corpus.empty(spark)).count() == 0
+
+
+def test_texts_of_one_id_are_cut_by_their_own_runs(spark):
+    rng = random.Random(6)
+    shared, a, b = (corpus.prose(rng, 60) + "." for _ in range(3))
+    rows = [(1, shared), (2, f"{shared}\n{a}"), (2, f"{b}\n{a}"), (2, f"{b}\n{a}"), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], corpus.DOC)
+    got = sorted((r.doc_id, r.text.strip()) for r in substring_dedup.remove_repeats(docs).collect())
+    first, second = sorted((rows[1][1], rows[2][1]), key=lambda t: spark.range(1).selectExpr(f"hash('{t}')").first()[0])
+    unique = {rows[1][1]: "", rows[2][1]: b}  # what the text that comes second keeps: shared came first in document 1
+    expected = [(2, a)] if first == rows[2][1] else [(2, a), (2, b), (2, b)]
+    assert got == sorted([*expected, (3, "")]), (first == rows[2][1], unique, second)
