@@ -6,10 +6,14 @@ worth (p - n) / (p + n) does not fall, kept if its precision there is high enoug
 aside before the next. The list is emitted as one ordered Spark CASE expression over statistics that Spark computes with
 built-in functions; applying it is a single scan without a shuffle.
 
-The rules are fitted on at most `max_rows` labelled rows of each class, those with the least hash of doc_id, so the sample
-does not depend on partitioning. Labels that contradict each other (or are null) are left out. Without enough labels of both classes
-the list is empty and keeps everything. Documents without a rule that fires are kept, and so are null and empty texts: all
-their statistics are 0.
+The rules are fitted on at most `max_rows` labelled documents of each class, those with the least hash of doc_id, so the sample
+does not depend on partitioning; of several texts under one doc_id the least stands. Labels that contradict each other (or are null) are left out. All
+places between two different values of a statistic are tried as thresholds; growing ends when no condition gains anything, and the
+list when its next rule is not precise (MIN_PRECISION) or covers fewer than MIN_COVER bad rows. Equal gains go to the statistic listed first and the least threshold. Without enough labels of both classes, or of
+an empty table, the list is empty and keeps everything.
+
+Each row of the table gets its decision, repeated rows the same one. Documents without a rule that fires are kept, and so are null and empty texts: all
+their statistics are 0. Very long texts are counted whole. Other columns are kept by apply(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,6 @@ from .shared import own_name, read
 MAX_ROWS = 4000
 MIN_PRECISION = 0.9
 MIN_COVER = 5
-MAX_RULES = 12
-MAX_CONDITIONS = 4
 
 
 COUNTS = {
@@ -60,16 +62,22 @@ def statistics(text: Column) -> dict[str, Column]:
     return {n: f(r) for n, (_, f) in STATISTICS.items()}
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, text, quality of at most max_rows labelled documents a class."""
+def clean_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of the documents whose labels agree."""
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    clean = clean.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__hi")).where("quality = __hi").drop("__hi")
+    return clean.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__hi")).where("quality = __hi").drop("__hi")
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, quality, text (the least one) of at most max_rows labelled documents a class."""
+    clean = clean_labels(labels)
     picked = None
     for q in (0, 1):
         part = clean.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows pairs of numbers
+    found = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows pairs of numbers
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 Condition = tuple[str, str, float]
@@ -89,17 +97,19 @@ def _covers(x: dict[str, np.ndarray], rule: list[Condition]) -> np.ndarray:
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
     rule: list[Condition] = []
     live = np.ones(len(bad), dtype=bool)
-    while len(rule) < MAX_CONDITIONS and bad[live].any() and not bad[live].all():
+    while bad[live].any() and not bad[live].all():
         p0, n0 = bad[live].sum(), (~bad[live]).sum()
         base, best = np.log2(p0 / (p0 + n0)), (0.0, None)
         for name, values in x.items():
-            cuts = np.unique(np.quantile(values[live], np.linspace(0, 1, 65)))
-            cuts = np.unique(np.round((cuts[1:] + cuts[:-1]) / 2, 6))
-            v = values[live]
+            order = np.argsort(values[live], kind="stable")
+            v, b = values[live][order], bad[live][order]
+            at = np.flatnonzero(v[1:] > v[:-1])
+            cuts = (v[at + 1] + v[at]) / 2
+            cuts = np.where(cuts < v[at + 1], cuts, v[at])
+            under = np.cumsum(b)[at]
             for op in ("<=", ">"):
-                hit = v[:, None] <= cuts if op == "<=" else v[:, None] > cuts
-                p = (hit & bad[live][:, None]).sum(0)
-                n = hit.sum(0) - p
+                p = under if op == "<=" else p0 - under
+                n = (at + 1 if op == "<=" else len(v) - at - 1) - p
                 gain = np.where(p >= MIN_COVER, p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - base), -1)
                 if len(gain) and gain.max() > best[0] + 1e-9:
                     best = (float(gain.max()), (name, op, float(cuts[gain.argmax()])))
@@ -134,7 +144,7 @@ def learn(rows) -> list[dict]:
         prune[np.flatnonzero(bad == side)[2::3]] = True
     rules: list[dict] = []
     live = np.ones(len(bad), dtype=bool)
-    while len(rules) < MAX_RULES:
+    while True:
         part = lambda m: ({c: v[m & live] for c, v in x.items()}, bad[m & live])
         gx, gb = part(~prune)
         px, pb = part(prune)

@@ -5,10 +5,12 @@ are judged by all of their parts and not by what the dictionary does for their b
 (size with bad dictionary - size with good dictionary) / bytes; a logistic curve fitted on held-out labelled rows, weighted
 by the classes' shares of all labels, turns it into `score`, the probability of good quality.
 
-Dictionaries and curve are fitted on at most `max_rows` labelled rows of each class and `max_bytes` of their text, those with the
-least hash of doc_id; two thirds train the dictionaries, the rest the curve. Contradicting and null labels are left out.
-Null and empty texts have statistic 0 and get the curve's value there. With labels of one class only (or none) score is
-null and everything is kept. Each input row gives one output row, also repeated ones and those without doc_id.
+Dictionaries and curve are fitted on at most `max_rows` labelled documents of each class and half of `max_bytes` of their text, those with the
+least hash of doc_id. Of a labelled text longer than `max_text` bytes, blocks evenly spread over all of it stand for it, `max_text` bytes together, so that no
+long text keeps others out. Two thirds train the dictionaries, the rest the curve. Contradicting and null labels are left out; of several texts under one doc_id the least stands.
+Null and empty texts have statistic 0 and get the curve's value there. With labelled texts of one class only (or none) score is
+null and everything is kept. Each input row gives one output row, also repeated ones and those without doc_id; an empty table gives none; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decision_list import sample
+from .decision_list import clean_labels, sample
 from .shared import read, slices
 
 MAX_ROWS = 1000
 MAX_BYTES = 48 << 20
+MAX_TEXT = 1 << 20
 DICT_BYTES = 64 << 10
 BLOCK = 2048
 LEVEL = 3
@@ -77,14 +80,28 @@ def calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float =
     return scale, float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict | None:
-    rows = sample(docs, labels, max_rows).where("text is not null and text != ''")
+def spread(text: bytes, size: int) -> bytes:
+    """Blocks evenly spread over the text, of `size` bytes together; a shorter text as it is."""
+    if len(text) <= size:
+        return text
+    n, last = max(1, size // BLOCK), len(text) - BLOCK
+    return b"".join(text[a : a + BLOCK] for a in (last * i // max(1, n - 1) for i in range(n)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> dict | None:
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = pa.array([spread(t.as_buffer().to_pybytes(), max_text) for t in batch.column(2).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["doc_id", "quality", "text"])
+
+    rows = sample(docs, labels, max_rows).where("text is not null and text != ''").select("doc_id", "quality", "text")
+    rows = rows.mapInArrow(shorten, "doc_id long, quality int, text binary")
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")  # at most max_rows rows
-    rows = rows.withColumn("__sum", F.sum(F.octet_length("text")).over(order)).where(F.col("__sum") <= max_bytes // 2).select("doc_id", "quality", "text").toPandas()
+    rows = rows.withColumn("__sum", F.sum(F.octet_length("text")).over(order)).where(F.col("__sum") <= max(max_bytes // 2, max_text)).select("doc_id", "quality", "text").toPandas()
     if rows["quality"].nunique() < 2:
         return None
-    rows = rows.sort_values(["quality", "doc_id", "text"], kind="stable")
-    texts = [t.encode() for t in rows["text"]]
+    rows = rows.sort_values(["quality", "doc_id"], kind="stable")
+    texts = [bytes(t) for t in rows["text"]]
     y = rows["quality"].to_numpy().astype(float)
     held = np.zeros(len(y), dtype=bool)
     for q in (0, 1):
@@ -93,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     pair = compressors(*dicts)
     use = held if len(set(y[held])) == 2 else np.ones(len(y), dtype=bool)
     x = np.array([statistic(pair, t) for t, u in zip(texts, use) if u])
-    shares = {r.quality: r["count"] for r in labels.where("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("quality")).count().collect()}
+    shares = {r.quality: r["count"] for r in clean_labels(labels).groupBy("quality").count().collect()}
     total = sum(shares.values())
     yy = y[use]
     weights = np.where(yy == 1, shares.get(1, 1) / total / max(1, (yy == 1).sum()), shares.get(0, 1) / total / max(1, (yy == 0).sum())) * len(yy)

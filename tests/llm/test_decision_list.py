@@ -47,3 +47,79 @@ def test_edges(spark):
     assert dl.fit(corpus.empty(spark), labels) == [] and dl.fit(docs, labels.where("quality = 1")) == []
     assert dl.apply(corpus.edges(spark), labels.limit(0)).columns == corpus.edges(spark).columns
     assert random.Random(1).random() and all(r.keep and r.rule == 0 for r in dl.decide(docs, []).collect())
+
+
+def plain_grow(rows, names):
+    """The best condition by information gain again and again, every threshold tried one by one."""
+    import math
+
+    rule, live = [], list(rows)
+    while any(r["bad"] for r in live) and not all(r["bad"] for r in live):
+        p0 = sum(r["bad"] for r in live)
+        base, best = math.log2(p0 / len(live)), (0.0, None)
+        for name in names:
+            values = sorted({r[name] for r in live})
+            for op in ("<=", ">"):
+                for a, b in zip(values, values[1:]):
+                    hit = [r for r in live if (r[name] <= a) == (op == "<=")]
+                    p = sum(r["bad"] for r in hit)
+                    gain = p * (math.log2(p / len(hit)) - base) if p >= dl.MIN_COVER else -1
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (name, op, (a + b) / 2))
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        live = [r for r in live if (r[best[1][0]] <= best[1][2]) == (best[1][1] == "<=")]
+    return rule
+
+
+def holds(r, rule):
+    return all((r[n] <= c) == (op == "<=") for n, op, c in rule)
+
+
+def test_learning_against_brute_force():
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        r = {"doc_id": i, "a": rng.random(), "b": float(rng.randrange(6)), "c": rng.random()}
+        r["bad"] = (r["a"] > 0.8 and r["c"] < 0.6) or r["b"] == 5 or rng.random() < 0.03
+        rows.append(r)
+    frame = pd.DataFrame(rows)
+    frame["quality"] = 1 - frame.pop("bad").astype(int)
+    sides = {s: [r for r in rows if r["bad"] == s] for s in (True, False)}
+    prune = {r["doc_id"] for s in sides.values() for r in s[2::3]}
+    live, expected = rows, []
+    while True:
+        grow, rest = [r for r in live if r["doc_id"] not in prune], [r for r in live if r["doc_id"] in prune]
+        if sum(r["bad"] for r in grow) < dl.MIN_COVER or not rest:
+            break
+        rule = plain_grow(grow, "abc")
+        if not rule:
+            break
+
+        def worth(x, rest=rest):
+            hit = [r["bad"] for r in rest if holds(r, x)]
+            return (2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0
+
+        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+            rule = rule[:-1]
+        hit, both = [r["bad"] for r in rest if holds(r, rule)], [r["bad"] for r in live if holds(r, rule)]
+        if sum(both) < dl.MIN_COVER or sum(both) / len(both) < dl.MIN_PRECISION or (hit and sum(hit) / len(hit) < dl.MIN_PRECISION):
+            break
+        expected.append({"conditions": rule, "precision": round(sum(both) / len(both), 6), "covered": len(both)})
+        live = [r for r in live if not holds(r, rule)]
+    got = dl.learn(frame)
+    assert len(expected) >= 2 and [r["covered"] for r in got] == [r["covered"] for r in expected]
+    for g, e in zip(got, expected):
+        assert g["precision"] == e["precision"] and [c[:2] for c in g["conditions"]] == [c[:2] for c in e["conditions"]]
+        assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(g["conditions"], e["conditions"]))
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark):
+    docs, labels, _ = labelled(spark)
+    again = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id < 9"))
+    assert dl.sample(again, labels).count() == 240 and dl.fit(again, labels) == dl.fit(docs, labels)
+    rules = dl.fit(docs, labels)
+    assert dl.apply(again, labels).count() == again.count() - 3 * sum(not r.keep for r in dl.decide(docs.where("doc_id < 9"), rules).collect()) - sum(not r.keep for r in dl.decide(docs.where("doc_id >= 9"), rules).collect())

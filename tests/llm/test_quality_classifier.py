@@ -56,3 +56,61 @@ def test_edges(spark):
     assert qc.fit(corpus.empty(spark), labels) is None and qc.fit(docs, labels.where("quality = 1")) is None
     none = qc.classify(docs, None).collect()
     assert all(r.keep and r.score is None for r in none)
+
+
+def test_long_labelled_text_keeps_no_other_out(spark):
+    docs, labels, rows = labelled(spark)
+    rng = random.Random(7)
+    longs = [(1000 + i, " ".join(corpus.words(rng, 60000, 500)), "en", "s", 0) for i in range(6)]
+    more = docs.unionByName(spark.createDataFrame(longs, corpus.DOC))
+    marks = labels.unionByName(spark.createDataFrame([(i, 1, 0, "x") for i, *_ in longs], LABELS))
+    for limits in ({"max_bytes": 1 << 18, "max_text": 1 << 14}, {"max_bytes": 1 << 12, "max_text": 1 << 12}):
+        model = qc.fit(more, marks, **limits)
+        assert model is not None
+    model = qc.fit(more, marks, max_bytes=1 << 20, max_text=1 << 14)
+    got = {r.doc_id: r.keep for r in qc.classify(docs, model).collect()}
+    assert np.mean([got[i] == bool(q) for i, q, *_ in rows]) > 0.95
+    text = bytes(range(256)) * 1000
+    cut = qc.spread(text, 8192)
+    assert len(cut) == 8192 and cut[:2048] == text[:2048] and cut[-2048:] == text[-2048:] and qc.spread(b"abc", 8192) == b"abc"
+
+
+def test_scores_against_plain_sizes_and_a_plain_fit(spark):
+    import math
+
+    import zstandard as zstd
+
+    docs, labels, rows = labelled(spark, 120, 5)
+    model = qc.fit(docs, labels)
+    got = {r.doc_id: r for r in qc.classify(docs, model).collect()}
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    held, trained = [], {0: [], 1: []}
+    for q in (0, 1):
+        ids = sorted(i for i, x, *_ in rows if x == q)
+        held += [(i, q) for i in ids[2::3]]
+        trained[q] = [texts[i] for n, i in enumerate(ids) if n % 3 != 2]
+    for q, name in ((1, "good"), (0, "bad")):
+        assert model[name] == zstd.train_dictionary(qc.DICT_BYTES, [t[a : a + qc.BLOCK] for t in trained[q] for a in range(0, len(t), qc.BLOCK)]).as_bytes()
+
+    def size(t, raw):
+        c = zstd.ZstdCompressor(level=qc.LEVEL, dict_data=zstd.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(t[a : a + qc.BLOCK])) for a in range(0, len(t), qc.BLOCK))
+
+    x = {i: (size(t, model["bad"]) - size(t, model["good"])) / len(t) for i, t in texts.items()}
+    assert all(abs(got[i].statistic - v) < 1e-12 for i, v in x.items())
+    share = {q: sum(r[1] == q for r in rows) / len(rows) for q in (0, 1)}
+    n = {q: sum(y == q for _, y in held) for q in (0, 1)}
+    goal = {1: (n[1] + 1) / (n[1] + 2), 0: 1 / (n[0] + 2)}
+    scale = float(np.std([x[i] for i, _ in held]))
+    slope = cut = 0.0
+    for _ in range(60000):  # plain gradient ascent of the same likelihood
+        da = db = 0.0
+        for i, y in held:
+            z = x[i] / scale
+            e = share[y] / n[y] * len(held) * (goal[y] - 1 / (1 + math.exp(-(slope * z + cut))))
+            da, db = da + e * z, db + e
+        da, db = da - 1e-3 * slope, db - 1e-3 * cut
+        slope, cut = slope + 0.05 * da, cut + 0.05 * db
+        if abs(da) + abs(db) < 1e-7:
+            break
+    assert all(abs(got[i].score - 1 / (1 + math.exp(-(slope * v / scale + cut)))) < 1e-3 for i, v in x.items())
