@@ -12,7 +12,8 @@ blocks of text beside the main subtree, such as advertisements, have no such sum
 children at or above the threshold are the text. If nothing reaches the threshold the greatest-sum node is taken.
 
 Pages without a body element use the whole document. Null and empty pages, and pages without text, give an empty text. Script, style, head, and
-comments have no text. All rows stay. Each page is one row of Python work inside Arrow batches, without a shuffle.
+comments have no text. Of equal sums the node that comes first counts. All rows stay, repeated ones with equal results, and an empty table gives an empty one; columns but page_id, url and html
+are left out. Each page, however long, is one row of Python work inside Arrow batches, without a shuffle. A slash at the end of a tag closes nothing, as in HTML.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import read, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|title|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[!?][^>]*>", re.S | re.I)
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""  # up to the first > that is in no quoted value; a quote that is never closed quotes nothing
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|title|svg)\b" + _REST + r".*?(?:</\1\s*>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9:-]*)" + _REST + r"|<[!?][^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul tr td th dt dd br".split())
 _CLOSES = {"p": _BLOCKS - {"br"}, "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
@@ -68,7 +70,7 @@ class Dom:
                 del stack[depth:]
             tags.append(name)
             parents.append(stack[-1])
-            if name not in _VOID and page[at - 2] != "/":
+            if name not in _VOID:
                 stack.append(len(tags) - 1)
         if at < len(page):
             self._text(stack[-1], page[at:])

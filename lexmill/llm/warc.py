@@ -1,15 +1,23 @@
 """WARC derivatives: each response record gives a linked metadata record and a plain-text conversion record.
 
 All of it is Spark expressions over one scan: no shuffle and no Python. Digests are sha1 in base 32 with the label sha1:,
-record ids are URNs made from an MD5 of their kind and source, so that a lost task that runs again writes the same records.
+record ids are URNs made from an MD5 of their kind, source and payload digest, so that a lost task that runs again writes the same records and two
+captures of a page are two records. Entities are those of HTML 5 that end with a semicolon, and numbers.
 
 Nulls: a null url gives a null target_uri and a null html an empty payload; both records are made all the same. Repeated
-pages give repeated records with the same ids. Other columns of the input are left out.
+pages give repeated records with the same ids. Very long pages are taken whole, an empty table has no record. Other columns of the input are left out.
+
+Files are read as a stream of records. A record that is cut off, or whose length is no number, is left out, and reading goes on with the next that
+can be found; so is what follows a broken place in a compressed file.
 """
 
 from __future__ import annotations
 
-import gzip
+import html as html_lib
+import html.entities
+import io
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +31,11 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<!doctype[^>]*>"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|section|article|nav|header|footer|aside|main|blockquote|pre|form|hr|dl|dt|dd|title|figure|figcaption|td|th)\b[^>]*>"
 TAGS = r"<[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+COMMON = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+RARE = r"&(?!(?:nbsp|lt|gt|quot|#39|apos|amp);)(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")} | {"nbsp": " "}
+OLD = {c: ord(s) for c in range(128, 160) if (s := html_lib.unescape(f"&#{c};")) and ord(s) != c}  # numbers that mean characters of Windows-1252
 
 
 def base32_sha1(c: Column) -> Column:
@@ -37,12 +49,32 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
+def _few(c: Column) -> Column:
+    for entity, char in COMMON:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
+def _all(c: Column) -> Column:
+    """All entities, part by part of the text between ampersands."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    old = F.create_map(*[F.lit(x) for pair in OLD.items() for x in pair])
+
+    def part(x: Column, i: Column) -> Column:
+        name = F.regexp_extract(x, ENTITY, 1)
+        code = F.when(F.substring(name, 2, 1).isin("x", "X"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+        code = F.coalesce(old[code], code)
+        code = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
+        char = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise(names[name])
+        return F.when(i == 0, x).when((name != "") & char.isNotNull(), F.concat(char, F.substring(x, F.length(name) + 2, F.length(x)))).otherwise(F.concat(F.lit("&"), x))
+
+    return F.array_join(F.transform(F.split(c, "&"), part), "")
+
+
+def unescape(c: Column) -> Column:
+    return F.when(F.rlike(c, F.lit(RARE)), _all(c)).otherwise(_few(c))
+
+
 def plain_text(html: Column) -> Column:
     c = F.regexp_replace(html, HIDDEN, " ")
     c = F.regexp_replace(c, r"[ \t\r\n\f]+", " ")
@@ -56,14 +88,14 @@ def responses(pages: DataFrame, warc_date: str = WARC_DATE) -> DataFrame:
     """The response records of a table of crawled pages (page_id, url, html)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     url = F.col("url").cast("string")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("target_uri"), html.alias("payload"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("target_uri"), html.alias("payload"), base32_sha1(html).alias("payload_digest"))
     return p.select(
         "page_id",
-        urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("target_uri", F.lit(""))).alias("record_id"),
+        urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("target_uri", F.lit("")), F.col("payload_digest")).alias("record_id"),
         "target_uri",
         F.lit(warc_date).alias("warc_date"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string")).alias("http_headers"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_digest",
         "payload",
     )
 
@@ -101,36 +133,104 @@ def serialise(derived: DataFrame) -> DataFrame:
     ).alias("warc"))
 
 
-def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record of a WARC file, compressed or not; a broken tail is left out."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (start := raw.find(b"WARC/", at)) >= 0 and (end := raw.find(b"\r\n\r\n", start)) >= 0:
-        lines = raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = [tuple(x.split(": ", 1)) for x in lines if ": " in x]
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), 0))
-        if end + 4 + size > len(raw):
+CHUNK = 1 << 20
+
+
+def unzipped(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a file, whether of members compressed with gzip or plain; what follows a broken place is left out."""
+    first = next(chunks, b"")
+    if first[:2] != b"\x1f\x8b":
+        yield first
+        yield from chunks
+        return
+    inflate = zlib.decompressobj(31)
+    rest = first
+    while True:
+        try:
+            while rest:
+                out = inflate.decompress(rest, CHUNK)
+                if out:
+                    yield out
+                rest = inflate.unconsumed_tail
+                if inflate.eof:
+                    rest = inflate.unused_data
+                    inflate = zlib.decompressobj(31)
+        except zlib.error:
+            return
+        rest = next(chunks, b"")
+        if not rest:
+            return
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each whole record of a plain WARC stream, of which one record is held at a time."""
+    have, ended = bytearray(), False
+
+    def more() -> bool:
+        nonlocal ended
+        chunk = next(chunks, None)
+        ended = chunk is None
+        have.extend(chunk or b"")
+        return not ended
+
+    while True:
+        start = have.find(b"WARC/1.")
+        if start < 0:
+            del have[: max(0, len(have) - 6)]
+            if not more():
+                return
+            continue
+        del have[:start]
+        while (end := have.find(b"\r\n\r\n")) < 0 and len(have) < CHUNK and more():
+            pass
+        if end < 0:
+            if ended:
+                return
+            del have[:7]  # no header is so long
+            continue
+        headers = [tuple(x.split(": ", 1)) for x in have[:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x]
+        length = next((v.strip() for k, v in headers if k.lower() == "content-length"), "")
+        if not (length.isascii() and length.isdigit()):
+            del have[:7]
+            continue
+        stop = end + 4 + int(length)
+        while len(have) < stop and more():
+            pass
+        if len(have) < stop:
             return
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield headers, bytes(have[end + 4 : stop])
+        del have[:stop]
+
+
+def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each whole record of a WARC file, compressed or not."""
+    stream = io.BytesIO(raw)
+    return records(unzipped(iter(lambda: stream.read(CHUNK), b"")))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files, with the columns of responses(); page_id is null."""
+    """The response records of WARC files, with the columns of responses(); page_id is null. Each file is read by one task, unzipped record by record."""
+    names = ["page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload_digest", "payload"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*rows))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload_digest", "payload"]
         for batch in batches:
-            rows = []
-            for raw in batch.column(0).to_pylist():
-                for headers, block in parse(raw):
+            for content in batch.column(0):
+                raw = memoryview(content.as_buffer())
+                rows, size = [], 0
+                for headers, block in records(unzipped(bytes(raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK))):
                     h = {k.lower(): v for k, v in headers}
                     if h.get("warc-type") == "response":
                         http, _, payload = block.partition(b"\r\n\r\n")
                         rows.append((None, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), http.decode("utf-8", "replace"), h.get("warc-payload-digest"), payload.decode("utf-8", "replace")))
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(columns)], names)
+                        size += len(block)
+                        if size > 16 * CHUNK:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload_digest string, payload string")
 
@@ -151,9 +251,13 @@ def _sql() -> str:
         return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 
     def ent(c: str) -> str:
-        for entity, char in ENTITIES:
-            c = f"replace({c}, {q(entity)}, {q(char)})"
-        return c
+        name = f"regexp_extract(x, {q(ENTITY)}, 1)"
+        old = "MAP {" + ", ".join(f"{k}: {v}" for k, v in OLD.items()) + "}"
+        code = f"CASE WHEN substr({name}, 2, 1) IN ('x', 'X') THEN ('0x' || substr({name}, 3))::INTEGER ELSE substr({name}, 2)::INTEGER END"
+        code = f"coalesce({old}[{code}], {code})"
+        char = f"CASE WHEN {name} LIKE '#%' THEN CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) ELSE chr(65533) END ELSE m[{name}] END"
+        part = f"CASE WHEN i = 1 THEN x WHEN {name} != '' AND {char} IS NOT NULL THEN {char} || substr(x, length({name}) + 2) ELSE '&' || x END"
+        return f"list_aggregate(list_transform(string_split({c}, '&'), lambda x, i: {part}), 'string_agg', '')"
 
     sub = lambda c, pattern, to: f"regexp_replace({c}, {q(pattern)}, {to}, 'g')"
     text = sub("payload", HIDDEN, "' '")
@@ -165,8 +269,9 @@ def _sql() -> str:
     crlf = "chr(13) || chr(10)"
     fields = f"""'title: ' || {sub(ent("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)"), "[\\r\\n]+", "' '")} || {crlf} || 'language: ' || regexp_extract(payload, '(?i)<html\\b[^>]*\\blang="?([A-Za-z-]+)', 1) || {crlf} || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref='))::VARCHAR || {crlf} || 'payload-length: ' || strlen(payload)::VARCHAR || {crlf}"""
     return f"""
-    WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload FROM pages),
-    r AS (SELECT page_id, {uid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '')")} AS source, target_uri,
+    WITH named AS MATERIALIZED (SELECT {"MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMED.items()) + "}"} AS m),
+    p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, named.m FROM pages, named),
+    r AS (SELECT page_id, {uid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '') || '|' || " + digest("payload"))} AS source, target_uri,
         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload)::VARCHAR AS source_headers,
         {digest("payload")} AS refers_to_payload_digest, {text} AS body, {fields} AS fields FROM p),
     b AS (SELECT *, 'metadata' AS record_type, 'conversion' AS other, 'application/warc-fields' AS content_type, fields AS block FROM r

@@ -100,3 +100,23 @@ def test_edges(spark):
     assert len(got) == 6 and [r.text for r in got if r.page_id in (2, None)] == ["", ""]
     assert [r.text for r in got if r.page_id == 3] == ["deep"] and all(len(r.text.split("\n")) == 100000 for r in got if r.page_id == 4)
     assert html_density.extract_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_quoted_values_and_slashes():
+    from lexmill.llm.html_density import Dom
+
+    dom = Dom('<body><p title="a>b" x=\'c>d\' href=e>one</p><div/>two<p t=don\'t>three > four</p><i a = "q>r">five</i><p x="never closed>six</p></body>')
+    assert "".join(t for _, t in dom.pieces) == "onetwothree > fourfivesix"
+    assert [dom.tags[n] for n, t in dom.pieces if t == "two"] == ["div"]
+    assert dom.tags.count("p") == 3
+    long = "<p " + 'a="' * 20000 + ">end"
+    assert "".join(t for _, t in Dom(long).pieces).endswith("end")
+
+
+def test_ties_repeats_and_names(spark):
+    same = "<body><div><p>" + "words " * 30 + "</p></div><div><p>" + "words " * 30 + "</p></div></body>"
+    rows = [(1, "u", same, "x", 2), (1, "u", same, "y", 3), (2, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_density.extract_text(pages).orderBy("page_id").collect()
+    assert len(got) == 3 and got[0] == got[1] and got[0].node == "body" and got[2].text == ""
+    assert html_density.extract_text(pages.limit(0)).count() == 0

@@ -58,3 +58,46 @@ def test_responses_from_files(spark, tmp_path):
 def test_empty_table(spark):
     pages, _ = rows(spark)
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_two_captures_of_a_page_are_two_records(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>a"), (1, "http://a/", "<p>b"), (1, "http://a/", "<p>b")], "page_id long, url string, html string")
+    assert len({r.record_id for r in warc.responses(pages).collect()}) == 2
+    assert len({r.record_id for r in warc.derive(warc.responses(pages)).collect()}) == 4
+
+
+def test_entities_are_those_of_html(spark):
+    import html
+
+    import duckdb
+    import pandas as pd
+
+    texts = ["caf&eacute; &#8217;x&#x2019; &#X41;", "&amp;lt; &lt;&gt;", "&copy;2 &notit; &unknown; & &; &#; &#x; AT&T;", "&#150;&#128;&#0;&#55296;&#1114112;&#9999999;", "&NotEqualTilde;&hellip;&amp;&hellip;", "&nbsp;a&nbsp;&euro;", "no entity", "&#128512; end&"]
+    pages = pd.DataFrame({"page_id": range(len(texts)), "url": "u", "html": texts})
+    got = {r.page_id: r for r in warc.derive(warc.responses(spark.createDataFrame(pages))).where("record_type = 'conversion'").collect()}
+    for i in (0, 1, 4, 5, 6, 7):
+        assert got[i].block == html.unescape(texts[i]).replace("\xa0", " ").strip(), i
+    assert got[2].block == "©2 &notit; &unknown; & &; &#; &#x; AT&T;" and got[3].block == "–€" + "�" * 4
+    con = duckdb.connect()
+    con.register("pages", pages)
+    expected = con.execute(warc.SQL["op2_warc"]).fetchdf()
+    expected = expected[expected.record_type == "conversion"]
+    assert {r.page_id: (r.block, r.record_id) for r in expected.itertuples()} == {i: (r.block, r.record_id) for i, r in got.items()}
+
+
+def test_broken_files_give_their_whole_records(spark, tmp_path):
+    record = lambda length, body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (length, body)
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(32, 120)) * 40
+    good = record(b"%d" % len(body), body)
+    zipped = gzip.compress(good)
+    files = {
+        "cut.warc.gz": (zipped * 2)[:-40], "damaged.warc.gz": zipped + zipped[:60] + b"\0\1\2" * 9 + zipped[90:] + zipped, "length.warc": record(b"many", b"x") + good + record(b"-4", b"y") + good, "long.warc": good + record(b"99999999", b"z"), "noise.warc": b"WARC/1.1\r\nno end of the header " * 50 + good, "zero.warc": b"",
+    }
+    counts = {"cut.warc.gz": 1, "damaged.warc.gz": 1, "length.warc": 2, "long.warc": 1, "noise.warc": None, "zero.warc": 0}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        found = list(warc.parse(data))
+        assert counts[name] is None or [b for _, b in found] == [body] * counts[name], name
+    assert warc.read_responses(spark, str(tmp_path)).where("length(payload) > 3000").count() >= 5
+    many = good * 5000  # records pass through one at a time, also where they cross the pieces that are read
+    assert sum(b == body for _, b in warc.parse(gzip.compress(many, 1))) == 5000
