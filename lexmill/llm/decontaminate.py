@@ -2,25 +2,27 @@
 
 1. Words become 32-bit fingerprints, written once as compact binary columns; what follows reads these and not the texts. A
    fingerprint's lowest bits are its term.
-2. Document frequencies over all documents give each term its weight, log((1 + N) / (1 + df)).
+2. Document frequencies over all documents give each term its weight, log(1 + N / df). Terms of more than COMMON of all documents (and more
+   than COMMON_LEAST) tell languages and styles apart and not passages, and weigh nothing here; the checks below count them.
 3. Randomised SVD of the matrix A of TF-IDF passages (PASSAGE words each, of all documents): with a fixed sparse test matrix W (a
    random column and sign for each term), each task sums its share of A'(A W), which is TERMS x SKETCH numbers however much text there
    is; the shares are added by blocks of terms. The orthonormal basis Q of the sum and the small matrix Q'A'AQ, recovered from Q'(A'AW) and Q'W, give the right
-   singular vectors; the RANK leading ones are the latent space.
-4. Every window of each document is compared with every benchmark item in that space. Windows are made of blocks of BLOCK words,
-   as many as are sure to hold an item of its length wherever it begins; their vectors are differences of prefix sums.
-   Pairs that can't pass step 5 are passed over before: of the item's rarer words, so many must be in the window as its
-   subsequence can't do without. This is exact. Which words count as rarer is chosen for each item, as it tells most.
-5. A pair of at least MIN_COSINE is a candidate. It is checked by the longest common subsequence of words: at least MIN_LCS of the item's
-   words, in order, in the window; and by its answer (column `answer` if the benchmark has one, else the item's last ANSWER_WORDS
-   words), at least MIN_ANSWER of whose words must be in the window in order. Before that, candidates that have too few of the item's
-   words in any order, which bounds the subsequence, are passed over.
-
-The weights, the basis and the items are sent to all tasks. The first two have a fixed size; items are sent in blocks of ITEM_BLOCK, each of
-which scans the fingerprints again, so a large benchmark takes more passes and not more memory.
-
-Null and empty texts are never contaminated; items without a word are skipped. Rows without doc_id are left out. Repeated rows give one
-result each (doc_id, item_id), the best. Other columns are ignored.
+   singular vectors; the RANK leading ones, each divided by its singular value, are the latent space.
+4. Each window of each document meets each benchmark item in that space, in matrix products. A window is STRETCH times as long as the item and begins at every
+   BLOCK words, for items of LONG words and more at every second BLOCK, so that an item with as many words put in between fits wherever it
+   begins. Pairs with a cosine of at least MIN_COSINE are candidates; so are windows that hold nearly all (VERBATIM) of the item's
+   rarer words, whatever their cosine, as the space has little to say of an item whose words are in no other passage. Of items with fewer weighing words than
+   LATENT_LEAST and LATENT_SHARE of all it says nothing: all windows are candidates that pass the bounds of step 5.
+5. Candidates are checked by the longest common subsequence of words: at least MIN_LCS of the item's words, in order, in the window; and,
+   where the benchmark has a column `answer`, at least MIN_ANSWER of the answer's words in order. Bounds come before:
+   the window must hold as many of the item's rarer words, and then of all its words in any order, as the subsequence can't do without.
+
+The weights, the basis and the items are sent to all tasks. The first two have a fixed size; a pass over the fingerprints takes PASS_ITEMS items,
+which the tasks go through in blocks, so 1000 items are one pass and a task holds a block of items and a slice of text at a time.
+
+Null and empty texts are never contaminated, nor is anything by an empty benchmark; items without a word are skipped. Very long texts are
+searched in pieces that overlap by a window. Rows without doc_id are left out. Repeated rows give one
+result each (doc_id, item_id), the best: of equal subsequences that of the greater cosine, then the later one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,32 +35,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import U64, buffers, words
-from .shared import Scratch, id_and_text, read, slices, without
+from .shared import Scratch, id_and_text, pieces, read, slices, without
 
 TERMS = 1 << 15
-SKETCH, RANK = 56, 48
-BLOCK, PASSAGE = 8, 48
-SHARES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)  # of documents, below which a word may count as rarer
-MIN_COSINE = 0.2
+SKETCH, RANK = 40, 32
+PASSAGE = 48
+COMMON, COMMON_LEAST = 0.02, 16
+BLOCK, LONG, STRETCH = 4, 20, 1.3
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.5, 2.0)  # of documents, below which a word may count as rarer; at last all words
+MIN_COSINE = 0.3
+VERBATIM = 0.8
+LATENT_LEAST, LATENT_SHARE = 4, 0.2
 MIN_LCS, MIN_ANSWER = 0.65, 0.5
-ANSWER_WORDS = 8
-ITEM_BLOCK = 256
+ITEM_BLOCK = 64
+PASS_ITEMS = 1 << 17
 TERM_BLOCKS = 64
+SEGMENT_WORDS = 1 << 17
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, words (4 bytes each)."""
 
+    def column(parts: list[np.ndarray], ends: np.ndarray) -> pa.Array:
+        h = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        wide = ends[-1] >= 1 << 31
+        return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends if wide else ends.astype(np.int32)), pa.py_buffer(h)])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, "text"):
-            data, offsets = buffers(batch.column(1))
+        long_id, parts = None, []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if parts:
+                yield pa.RecordBatch.from_arrays([long_id, column(parts, np.array([0, 4 * sum(map(len, parts))]))], ["doc_id", "words"])
+
+        for ids, base, data, offsets in pieces(it, 0):
             _, _, row, h = words(data, offsets)
             h = (h >> U64(32)).astype(np.uint32)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int64) * 4
-            if ends[-1] >= 1 << 31:
-                raise ValueError("a slice of more than 2 GB")
-            out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["doc_id", "words"])
+            if not base:
+                yield from finished()
+                parts = []
+            if len(ids) == 1:
+                long_id, parts = ids, [*parts, h]
+            else:
+                yield pa.RecordBatch.from_arrays([ids, column([h], np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int64) * 4)], ["doc_id", "words"])
+        yield from finished()
 
     return id_and_text(docs, lower=True).select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
 
@@ -96,8 +116,8 @@ def _summed(df: DataFrame, partial, width: int, dtype: str) -> np.ndarray:
     return out
 
 
-def term_weights(table: DataFrame) -> np.ndarray:
-    """log((1 + N) / (1 + df)) by term, over all documents."""
+def term_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and the number of documents."""
 
     def partial(it: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total, n = np.zeros((TERMS, 1)), 0
@@ -110,8 +130,12 @@ def term_weights(table: DataFrame) -> np.ndarray:
             n += batch.num_rows
         return total if n else None
 
-    df = _summed(_few_parts(table), partial, 1, "<f8")[:, 0]
-    return np.log((1 + table.count()) / (1 + df)).astype(np.float32)
+    return _summed(_few_parts(table), partial, 1, "<f8")[:, 0], table.count()
+
+
+def latent_weights(df: np.ndarray, n: int, common: float = COMMON) -> np.ndarray:
+    """log(1 + N / df), and 0 for terms that are common or nowhere."""
+    return np.where((df == 0) | ((df > common * n) & (df > COMMON_LEAST)), 0, np.log1p(n / np.maximum(df, 1))).astype(np.float32)
 
 
 def latent_basis(table: DataFrame, weights: np.ndarray, sketch: int = SKETCH, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +155,8 @@ def latent_basis(table: DataFrame, weights: np.ndarray, sketch: int = SKETCH, ra
             at = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
             passage = np.cumsum(at % PASSAGE == 0) - 1
             n = int(passage[-1]) + 1
+            some = weights[term] > 0
+            term, passage = term[some], passage[some]
             z = np.bincount(column[term] * n + passage, weights=value[term], minlength=n * sketch).reshape(sketch, n)
             total = np.zeros((sketch, TERMS)) if total is None else total
             for i in range(sketch):
@@ -183,140 +209,204 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return both.join(answers, "doc_id").select(F.col("doc_id").alias("item_id"), "item", "answer").where("octet_length(item) > 0").distinct()
 
 
-def search(table: DataFrame, items: list, weights: np.ndarray, basis: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word for one block of items."""
-    tokens = [np.frombuffer(r.item, np.uint32) for r in items]
-    answers = [np.frombuffer(r.answer, np.uint32) if r.answer else t[-ANSWER_WORDS:] for r, t in zip(items, tokens)]
-    weighted = basis * weights[:, None]
-    vectors = np.stack([weighted[t & (TERMS - 1)].sum(0) for t in tokens])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    spans = np.array([-(-len(t) // BLOCK) + 1 for t in tokens])
-    least, terms, of_item = np.zeros(len(tokens), dtype=np.int64), [], []
-    share = np.exp(-weights.astype(float))  # of the documents, by term
-    for j, t in enumerate(tokens):
-        best = None
-        for limit in SHARES:
-            rare = share[t & (TERMS - 1)] < limit
-            need = int(np.ceil(len(t) * min_lcs - 1e-9)) - int((~rare).sum())
-            own = np.unique(t[rare] & np.uint32(TERMS - 1))
-            worth = need / (1 + spans[j] * BLOCK * min(1.0, float(share[own].sum()) / 50))
-            if best is None or worth > best[0]:
-                best = (worth, need, own)
-        least[j] = best[1]
-        terms.append(best[2])
-        of_item.append(np.full(len(best[2]), j))
-    order = np.argsort(np.concatenate(terms), kind="stable")
-    posting_items = np.concatenate(of_item)[order]
-    posting_ends = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate(terms).astype(np.int64), minlength=TERMS))))
-    shared = table.sparkSession.sparkContext.broadcast((weighted, vectors.astype(np.float32), spans, least, posting_items, posting_ends, tokens, answers, np.array([r.item_id for r in items])))
+def window_size(length: int) -> tuple[int, int]:
+    """Blocks of a window for an item of so many words, and of the step between windows."""
+    step = 1 if length < LONG else 2
+    return -(-int(np.ceil(STRETCH * length)) // BLOCK) + step, step
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, vectors, spans, least, posting_items, posting_ends, tokens, answers, ids = shared.value
-        n_items = len(tokens)
-        known = np.zeros(TERMS, dtype=np.int32)  # a number for each term of the items, 0 for others
-        terms = np.unique(np.concatenate([t & np.uint32(TERMS - 1) for t in tokens]))
-        known[terms] = np.arange(1, len(terms) + 1)
-        member = np.zeros((len(terms) + 1, n_items), dtype=bool)
+
+def prepared(items: list, df: np.ndarray, n_docs: int, space: np.ndarray, min_lcs: float) -> list[dict]:
+    """What the tasks need of each block of items."""
+    share = df / max(1, n_docs)
+    out = []
+    for begin in range(0, len(items), ITEM_BLOCK):
+        part = items[begin : begin + ITEM_BLOCK]
+        tokens = [np.frombuffer(r.item, np.uint32) for r in part]
+        vectors = np.stack([space[t & (TERMS - 1)].sum(0) for t in tokens])
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        sizes = [window_size(len(t)) for t in tokens]
+        least, nearly, terms, of_item = [], [], [], []
         for j, t in enumerate(tokens):
-            member[known[t & np.uint32(TERMS - 1)], j] = True
-        postings = np.diff(posting_ends)
-        item_places, answer_places = [places(t) for t in tokens], [places(t) for t in answers]
-        for batch in slices(it, "words", 1 << 20):
-            h, offsets = _tokens(batch.column(1))
-            if not len(h):
-                continue
-            term = (h & np.uint32(TERMS - 1)).astype(np.int32)
-            at = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-            block = np.cumsum(at % BLOCK == 0) - 1
-            begins = np.flatnonzero(at % BLOCK == 0)
-            n = len(begins)
-            blocks = np.arange(n)
-            row = np.searchsorted(offsets, begins, side="right") - 1
-            first, last = np.searchsorted(row, row), np.searchsorted(row, row, side="right")  # of each block's document, in blocks
-            many = postings[term]
-            hit = np.flatnonzero(many)
-            many = many[hit]
-            where = np.repeat(posting_ends[term[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            counts = np.bincount(posting_items[where] * n + np.repeat(block[hit], many), minlength=n_items * n).reshape(n_items, n)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for j in range(n_items):
-                span = int(spans[j])
-                sums = np.zeros(n + 1, dtype=np.int64)
-                np.cumsum(counts[j], out=sums[1:])
-                if sums[-1] < least[j]:
-                    continue
-                stop = np.minimum(blocks + span, last)
-                w = np.flatnonzero((sums[stop] - sums[:-1] >= least[j]) & ((blocks + span <= last) | (blocks == first)))
-                if len(w):
-                    found.append((w, stop[w], np.full(len(w), j)))
-            del counts
-            if not found:
+            best = None
+            for limit in SHARES:
+                rare = share[t & (TERMS - 1)] < limit
+                needed = int(np.ceil(len(t) * min_lcs - 1e-9)) - int((~rare).sum())
+                own = np.unique(t[rare] & np.uint32(TERMS - 1))
+                worth = needed / (1 + sizes[j][0] * BLOCK * min(1.0, float(share[own].sum()) / 50))
+                if best is None or worth > best[0]:
+                    best = (worth, needed, own, int(rare.sum()))
+            least.append(max(1, best[1]))
+            weighing = int((space[t & (TERMS - 1)] != 0).any(axis=1).sum())
+            silent = weighing < max(LATENT_LEAST, LATENT_SHARE * len(t))
+            nearly.append(least[-1] if silent else max(least[-1], int(np.ceil(VERBATIM * best[3]))))
+            terms.append(best[2])
+            of_item.append(np.full(len(best[2]), j))
+        order = np.argsort(np.concatenate(terms), kind="stable")
+        out.append({
+            "ids": [r.item_id for r in part], "tokens": tokens, "answers": [np.frombuffer(r.answer, np.uint32) for r in part], "vectors": vectors.astype(np.float32), "sizes": sizes,
+            "least": np.array(least), "nearly": np.array(nearly), "terms": np.concatenate(terms)[order].astype(np.int64), "of_item": np.concatenate(of_item)[order],
+        })
+    return out
+
+
+class Segment:
+    """Some words of a slice of documents, cut into blocks, with the running sums of their latent vectors."""
+
+    def __init__(self, h: np.ndarray, offsets: np.ndarray, space: np.ndarray):
+        self.h, self.offsets = h, offsets
+        self.term = (h & np.uint32(TERMS - 1)).astype(np.int64)
+        at = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
+        starts = at % BLOCK == 0
+        self.block = np.cumsum(starts) - 1
+        self.begins = np.flatnonzero(starts)
+        self.n = len(self.begins)
+        self.row = np.searchsorted(offsets, self.begins, side="right") - 1
+        self.first, self.last = np.searchsorted(self.row, self.row), np.searchsorted(self.row, self.row, side="right")
+        some = np.flatnonzero(space.any(axis=1)[self.term])
+        of = self.block[some]
+        sums = np.zeros((self.n + 1, space.shape[1]))
+        if len(some):
+            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            sums[of[new] + 1] = np.add.reduceat(space[self.term[some]], new, axis=0)
+        self.sums = np.cumsum(sums, axis=0, out=sums)
+        self.windows: dict[tuple[int, int], tuple] = {}
+
+    def of_size(self, size: tuple[int, int]) -> tuple:
+        """First and last block (exclusive) of all windows of a size, and their latent vectors and these' lengths."""
+        found = self.windows.get(size)
+        if found is None:
+            span, step = size
+            b = np.arange(self.n)
+            stop = np.minimum(b + span, self.last)
+            w = np.flatnonzero(((b - self.first) % step == 0) & ((stop - b > span - step) | (b == self.first)))
+            x = (self.sums[stop[w]] - self.sums[w]).astype(np.float32)
+            found = (w, stop[w], x, np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9))
+            self.windows = {size: found}  # one at a time; items come in the order of their sizes
+        return found
+
+
+def candidates(seg: Segment, block: dict, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last block, number of the item, cosine."""
+    m = len(block["tokens"])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(block["terms"], minlength=TERMS))))
+    many = np.diff(ends)[seg.term]
+    hit = np.flatnonzero(many)
+    many = many[hit]
+    where = np.repeat(ends[seg.term[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    counts = np.zeros((m, seg.n + 1), dtype=np.int32)
+    counts[:, 1:] = np.bincount(block["of_item"][where] * seg.n + np.repeat(seg.block[hit], many), minlength=m * seg.n).reshape(m, seg.n)
+    np.cumsum(counts, axis=1, out=counts)
+    docs = np.flatnonzero(np.diff(seg.offsets))
+    of_doc = counts[:, np.searchsorted(seg.row, docs, side="right")] - counts[:, np.searchsorted(seg.row, docs)]
+    for size in sorted(set(block["sizes"])):
+        own = np.array([j for j, s in enumerate(block["sizes"]) if s == size])
+        w, stop, x, length = seg.of_size(size)
+        cos = x @ block["vectors"][own].T
+        near = cos >= (min_cosine * length)[:, None]
+        for k, j in enumerate(own):
+            held = docs[of_doc[j] >= block["nearly"][j]]
+            if len(held):
+                inside = np.flatnonzero(np.isin(seg.row[w], held))
+                near[inside, k] |= counts[j, stop[inside]] - counts[j, w[inside]] >= block["nearly"][j]
+        at, k = np.nonzero(near)
+        j = own[k]
+        enough = counts[j, stop[at]] - counts[j, w[at]] >= block["least"][j]
+        at, k, j = at[enough], k[enough], j[enough]
+        if len(at):
+            yield w[at], stop[at], j, cos[at, k] / length[at]
+
+
+def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer: float) -> Iterator[tuple]:
+    """row, number of the item, words in common, cosine, share of the answer (None without one), first word of the candidates that pass."""
+    tokens, answers = block["tokens"], block["answers"]
+    terms = np.unique(np.concatenate([t & np.uint32(TERMS - 1) for t in tokens]))
+    known = np.zeros(TERMS, dtype=np.int32)  # a number for each term of the items, 0 for others
+    known[terms] = np.arange(1, len(terms) + 1)
+    member = np.zeros((len(terms) + 1, len(tokens)), dtype=bool)
+    for j, t in enumerate(tokens):
+        member[known[t & np.uint32(TERMS - 1)], j] = True
+    number = known[seg.term]
+    item_places, answer_places = {}, {}
+    need_of = np.ceil(np.array([len(t) for t in tokens]) * min_lcs - 1e-9)
+    for begin in range(0, len(found[0]), 1 << 16):
+        w, stop, j, cos = (x[begin : begin + (1 << 16)] for x in found)
+        b0 = seg.begins[w]
+        size = np.append(seg.begins, len(seg.h))[stop] - b0
+        need = need_of[j]
+        shared = np.zeros(len(w), dtype=np.int32)
+        for k in range(int(size.max())):  # words of the window that the item has: no less than the subsequence
+            ok = k < size
+            shared += member[number[np.where(ok, b0 + k, b0)], j] & ok
+        for c in np.flatnonzero(shared >= need):
+            item = int(j[c])
+            if item not in item_places:
+                item_places[item], answer_places[item] = places(tokens[item]), places(answers[item])
+            span = slice(b0[c], b0[c] + size[c])
+            common = lcs(item_places[item], seg.h[span][member[number[span], item]].tolist())
+            if common < need[c]:
                 continue
-            w, stop, j_item = (np.concatenate(x) for x in zip(*found))
-            wanted = np.bincount(w, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
-            use = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-            size = np.diff(np.append(begins, len(h)))[use]
-            of = np.repeat(begins[use] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            sums = np.zeros((n + 1, weighted.shape[1]))
-            sums[use + 1] = np.add.reduceat(weighted[term[of]], np.cumsum(size) - size, axis=0)
-            np.cumsum(sums, axis=0, out=sums)
-            number = known[term]
+            part = lcs(answer_places[item], seg.h[span].tolist()) / len(answers[item]) if len(answers[item]) else None
+            if part is None or part >= min_answer:
+                row = int(seg.row[w[c]])
+                yield row, item, common, float(cos[c]), part, int(b0[c] - seg.offsets[row])
+
+
+RESULT = "doc_id long, item_id long, cosine double, lcs int, coverage double, answer_coverage double, start_word int"
+
+
+def search(table: DataFrame, blocks: list[dict], space: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word for the items of the blocks."""
+    shared = table.sparkSession.sparkContext.broadcast((space, blocks))
+    overlap = max((size[0] for b in blocks for size in b["sizes"]), default=0) * BLOCK
+    step = max(SEGMENT_WORDS, 2 * overlap) // (2 * BLOCK) * 2 * BLOCK
+
+    def segments(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in slices(it, "words", 4 * SEGMENT_WORDS):
+            h, offsets = _tokens(batch.column(1))
+            for a in range(0, max(1, len(h)), step) if batch.num_rows == 1 else [0]:
+                part = h[a : a + step + overlap] if batch.num_rows == 1 else h
+                if len(part):
+                    yield batch.column(0), a, part, np.array([0, len(part)]) if batch.num_rows == 1 else offsets
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, blocks = shared.value
+        for ids, base, h, offsets in segments(it):
+            seg = Segment(h, offsets, space)
             best: dict[tuple[int, int], tuple] = {}
-            for begin in range(0, len(w), 1 << 16):
-                ww, ss, jj = w[begin : begin + (1 << 16)], stop[begin : begin + (1 << 16)], j_item[begin : begin + (1 << 16)]
-                x = (sums[ss] - sums[ww]).astype(np.float32)
-                cos = np.einsum("ij,ij->i", x, vectors[jj]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)
-                near = np.flatnonzero(cos >= min_cosine)
-                if not len(near):
-                    continue
-                ww, ss, jj, cos = ww[near], ss[near], jj[near], cos[near]
-                b0 = begins[ww]
-                size = np.append(begins, len(h))[ss] - b0
-                need = np.ceil(np.array([len(t) for t in tokens])[jj] * min_lcs - 1e-9)
-                shared_words = np.zeros(len(ww), dtype=np.int32)
-                for k in range(int(size.max())):  # words of the window that the item has: no less than the subsequence
-                    ok = k < size
-                    shared_words += member[number[np.where(ok, b0 + k, b0)], jj] & ok
-                for c in np.flatnonzero(shared_words >= need):
-                    item = int(jj[c])
-                    span = slice(b0[c], b0[c] + size[c])
-                    window = h[span].tolist()
-                    common = lcs(item_places[item], h[span][member[number[span], item]].tolist())
-                    if common < need[c]:
-                        continue
-                    part = lcs(answer_places[item], window) / max(1, len(answers[item]))
-                    if part < min_answer:
-                        continue
-                    key = (int(row[ww[c]]), item)
-                    entry = (common, float(cos[c]), part, int(b0[c] - offsets[key[0]]))
-                    if key not in best or entry[:2] > best[key][:2]:
-                        best[key] = entry
+            for b, block in enumerate(blocks):
+                for found in candidates(seg, block, min_cosine):
+                    for row, item, *entry in checked(seg, block, found, min_lcs, min_answer):
+                        key = (row, b * ITEM_BLOCK + item)
+                        if key not in best or entry[:2] > best[key][:2]:
+                            best[key] = entry
             if best:
-                keys = list(best)
-                r = [k[0] for k in keys]
+                size = [len(blocks[i // ITEM_BLOCK]["tokens"][i % ITEM_BLOCK]) for _, i in best]
+                common, cos, part, start = zip(*best.values())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(r)), pa.array([int(ids[k[1]]) for k in keys]), pa.array([best[k][1] for k in keys]), pa.array([best[k][0] for k in keys], pa.int32()), pa.array([best[k][0] / len(tokens[k[1]]) for k in keys]), pa.array([best[k][2] for k in keys], pa.float64()), pa.array([best[k][3] for k in keys], pa.int32())],
+                    [ids.take(pa.array([r for r, _ in best])), pa.array([int(blocks[i // ITEM_BLOCK]["ids"][i % ITEM_BLOCK]) for _, i in best]), pa.array(cos), pa.array(common, pa.int32()), pa.array([c / n for c, n in zip(common, size)]), pa.array(part, pa.float64()), pa.array([base + x for x in start], pa.int32())],
                     ["doc_id", "item_id", "cosine", "lcs", "coverage", "answer_coverage", "start_word"],
                 )
 
-    return table.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs int, coverage double, answer_coverage double, start_word int")
+    return table.mapInArrow(run, RESULT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_lcs: float = MIN_LCS, **limits: float) -> DataFrame:
     """doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word of the documents that hold an item or a paraphrase of it."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     table = scratch.write(fingerprints(docs), "words")
-    items = scratch.write(benchmark_items(benchmark).withColumn("n", F.row_number().over(Window.orderBy("item_id", "item", "answer")) - 1), "items")  # a benchmark is small against a corpus
-    blocks = -(-items.count() // ITEM_BLOCK)
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs int, coverage double, answer_coverage double, start_word int")
-    if not blocks:
-        return empty
-    weights = term_weights(table)
-    basis, _ = latent_basis(table, weights)
-    found = empty
-    for b in range(blocks):
-        part = items.where((F.col("n") >= b * ITEM_BLOCK) & (F.col("n") < (b + 1) * ITEM_BLOCK)).orderBy("n").collect()
-        found = found.unionByName(search(table, part, weights, basis, **limits))
+    order = Window.orderBy(F.octet_length("item"), "item_id", "item", "answer")  # a benchmark is small against a corpus
+    items = scratch.write(benchmark_items(benchmark).withColumn("n", F.row_number().over(order) - 1), "items")
+    n = items.count()
+    found = docs.sparkSession.createDataFrame([], RESULT)
+    if not n:
+        return found
+    df, n_docs = term_frequencies(table)
+    weights = latent_weights(df, n_docs)
+    basis, values = latent_basis(table, weights)
+    space = (basis * weights[:, None] / np.maximum(values, 1e-6 * max(1e-9, values[0]))).astype(np.float32)
+    for begin in range(0, n, PASS_ITEMS):
+        part = items.where((F.col("n") >= begin) & (F.col("n") < begin + PASS_ITEMS)).orderBy("n").collect()
+        found = found.unionByName(search(table, prepared(part, df, n_docs, space, min_lcs), space, min_lcs=min_lcs, **limits))
     one = F.max_by(F.struct("cosine", "lcs", "coverage", "answer_coverage", "start_word"), F.struct("lcs", "cosine", "start_word"))
     return found.groupBy("doc_id", "item_id").agg(one.alias("x")).select("doc_id", "item_id", "x.*")
 
