@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,11 +61,6 @@ _WORD[ord("A") : ord("Z") + 1] = True
 _WORD[ord("a") : ord("z") + 1] = True
 
 
-def word_bytes(data: np.ndarray) -> np.ndarray:
-    """Whether each byte belongs to a word."""
-    return _WORD[data]
-
-
 def row_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, side="right") - 1
 
@@ -98,8 +95,43 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of letters, digits and bytes beyond ASCII): starts, ends, row, hash. Texts should be in lower case."""
-    starts, ends = runs(_WORD[data], offsets)
-    return starts, ends, row_of(starts, offsets), span_hashes(data, starts, ends)
+    if len(data) <= CUT_BYTES:
+        starts, ends = runs(_WORD[data], offsets)
+        return starts, ends, row_of(starts, offsets), span_hashes(data, starts, ends)
+    parts = []
+    for a, b, _ in cuts(data, 0):
+        own = offsets[(offsets > a) & (offsets < b)] - a
+        starts, ends, _, h = words(data[a:b], np.concatenate(([0], own, [b - a]))) if b - a <= CUT_BYTES else _one_by_one(data[a:b], own)
+        parts.append((starts + a, ends + a, h))
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts))
+    return starts, ends, row_of(starts, offsets), h
+
+
+def _one_by_one(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words() of a stretch that can't be cut, for it has a word longer than CUT_BYTES."""
+    starts, ends = runs(_WORD[data], np.concatenate(([0], own, [len(data)])))
+    return starts, ends, np.zeros(len(starts), np.int64), span_hashes(data, starts, ends)
+
+
+CUT_BYTES = 4 << 20
+
+
+def cuts(data: np.ndarray, overlap: int, size: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """Stretches of about `size` bytes that end between words and have `overlap` words in common: first byte, last byte, number of the first word."""
+    start, base, end, size = 0, 0, len(data), size or CUT_BYTES
+    while True:
+        stop, reach = end, size
+        while start + reach < end:
+            mask = _WORD[data[start : start + reach]]
+            begins = np.flatnonzero(mask & ~np.concatenate(([False], mask[:-1])))
+            if len(begins) > overlap + 1:  # the last word may go on beyond
+                stop = start + int(begins[-1])
+                break
+            reach *= 2
+        yield start, stop, base
+        if stop == end:
+            return
+        base, start = base + len(begins) - 1 - overlap, start + int(begins[-1 - overlap])
 
 
 def grams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

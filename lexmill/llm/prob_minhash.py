@@ -9,9 +9,11 @@ similarity. All elements of all documents of a slice advance together, one arriv
 Documents with equal bands of R registers are candidates. Each candidate pair is verified on the whole texts with the exact probability
 Jaccard similarity. Documents joined by verified pairs, also through others, are a group. Each document is first compared with the
 least doc_id of its bucket and with the one before it, which joins most groups; then all other pairs of a bucket whose documents are
-not in one group yet are. So each pair of a bucket is in one group or was rejected, whatever else fills the bucket. With 40 bands of 4, a pair at the threshold of 0.5 shares a band with probability 0.92, at 0.6 with 0.996.
+not in one group yet are. So each pair of a bucket is in one group or was rejected, whatever else fills the bucket. A bucket's least document comes of
+an aggregation that combines in the map tasks, and large buckets are ordered in parts, so none gathers in one task; copies of a text join one group with the first pairs. With 40 bands of 4, a pair at the threshold of 0.5 shares a band with probability 0.92, at 0.6 with 0.996.
 
-Null and empty texts, and texts without a word, have no signature and no partner. Rows without doc_id are left out. Rows that share a
+Null and empty texts, and texts without a word, have no signature and no partner, nor has an empty table any. Very long texts are cut into shingles
+and given registers piece by piece. Rows without doc_id are left out. Rows that share a
 doc_id are no pair; both carry what the id gets. Other columns are ignored.
 """
 
@@ -24,20 +26,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, buffers, mix, signed, word_spans, word_sums, words
+from .kernels import CUT_BYTES, U64, buffers, cuts, mix, signed, word_spans, word_sums, words
 from .shared import Scratch, id_and_text, read, slices, without
 
 N = 3
 M = 163  # a prime, so that r = a * i + b is a permutation of the registers
 BANDS, R = 40, 4
 THRESHOLD = 0.5
+PART = 1000  # about as many members of a bucket are ordered in one task
+AT_ONCE = 1 << 20  # elements
 
 
 def elements(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles of the rows: row, 44-bit hash (ascending in a row), count."""
+    if len(offsets) == 2 and len(data) > CUT_BYTES:
+        keys = np.sort(np.concatenate([_keys(data[a:b], np.array([0, b - a]), n) for a, b, _ in cuts(data, n - 1)]))
+    else:
+        keys = np.sort(_keys(data, offsets, n))
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(at, len(keys)))
+    keys = keys[at]
+    return (keys >> U64(44)).astype(np.int64), keys & U64((1 << 44) - 1), counts
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Row (20 bits) and hash (44 bits) of all shingles."""
     _, _, row, h = words(data, offsets)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     sums = word_sums(h)
     first = np.searchsorted(row, np.arange(len(offsets) - 1))
     last = np.append(first[1:], len(h))
@@ -45,17 +63,22 @@ def elements(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
     ends = np.minimum(starts + n, last[row])
     take = (ends - starts == n) | ((starts == first[row]) & (last[row] - first[row] < n))
     starts, ends = starts[take], ends[take]
-    keys = np.sort((row[starts].astype(np.uint64) << U64(44)) | (word_spans(sums, starts, ends) >> U64(20)))
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.diff(np.append(at, len(keys)))
-    keys = keys[at]
-    return (keys >> U64(44)).astype(np.int64), keys & U64((1 << 44) - 1), counts
+    return (row[starts].astype(np.uint64) << U64(44)) | (word_spans(sums, starts, ends) >> U64(20))
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, m: int = M) -> tuple[np.ndarray, np.ndarray]:
     """The m registers of each row (hashes of the elements that came first), and whether the row has any element."""
     times = np.full(rows * m, np.inf)
     winner = np.zeros(rows * m, dtype=np.uint64)
+    for begin in range(0, len(row), AT_ONCE):
+        part = slice(begin, begin + AT_ONCE)
+        _arrive(times, winner, row[part], element[part], weight[part], rows, m)
+    has = np.zeros(rows, dtype=bool)
+    has[row] = True
+    return winner.reshape(rows, m), has
+
+
+def _arrive(times: np.ndarray, winner: np.ndarray, row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, m: int) -> None:
     seed = mix(element + U64(0x51ED270B9F3C4D27))
     step = (mix(seed) % U64(m - 1)).astype(np.int64) + 1
     register = (mix(seed ^ U64(0xA5A5A5A5A5A5A5A5)) % U64(m)).astype(np.int64)
@@ -76,9 +99,6 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
         live_row, live_seed, live_weight, clock, base = live_row[live], live_seed[live], live_weight[live], clock[live], base[live]
         step, register = step[live], register[live]
         register = (register + step) % m
-    has = np.zeros(rows, dtype=bool)
-    has[row] = True
-    return winner.reshape(rows, m), has
 
 
 def similarity(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray) -> float:
@@ -119,23 +139,24 @@ def bands(docs: DataFrame, n: int = N, m: int = M, count: int = BANDS, r: int =
 
 
 def buckets(docs: DataFrame, **banding) -> DataFrame:
-    """band, doc_id: the bands that more than one document has."""
-    of = Window.partitionBy("band")
-    b = bands(docs, **banding).withColumn("least", F.min("doc_id").over(of)).withColumn("most", F.max("doc_id").over(of))
-    return b.where("least != most").select("band", "doc_id")
+    """band, doc_id, least, part: the bands that more than one document has, with the least of them; part cuts large buckets into parts of about PART rows."""
+    b = bands(docs, **banding)
+    of = b.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("least != most")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))
+    return b.join(of, "band").select("band", "doc_id", "least", part.cast("int").alias("part"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs a > b of a bucket: each document with the least one and the one before it."""
-    order = Window.partitionBy("band").orderBy("doc_id")
-    b = members.select("doc_id", F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.lag("doc_id").over(order).alias("before"))
-    pairs = b.where("doc_id > least").select(F.col("doc_id").alias("a"), F.explode(F.array("least", "before")).alias("b")).where("a > b")
+    """Distinct pairs a > b of a bucket: each document with the least one and, in its part of the bucket, with the least one and the one before it."""
+    order = Window.partitionBy("band", "part").orderBy("doc_id")
+    b = members.select("doc_id", "least", F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag("doc_id").over(order).alias("before"))
+    pairs = b.where("doc_id > least").select(F.col("doc_id").alias("a"), F.explode(F.array("least", "first", "before")).alias("b")).where("a > b")
     return pairs.distinct()
 
 
 def remaining(members: DataFrame, group: DataFrame, done: DataFrame) -> DataFrame:
     """Distinct pairs a > b of a bucket that are in different groups and not among those done."""
-    m = members.distinct().join(group, "doc_id", "left").select("band", "doc_id", F.coalesce("group_id", "doc_id").alias("g"))
+    m = members.select("band", "doc_id").distinct().join(group, "doc_id", "left").select("band", "doc_id", F.coalesce("group_id", "doc_id").alias("g"))
     mixed = m.groupBy("band").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least != most").select("band")
     m = m.join(mixed, "band", "left_semi")
     a, b = (m.select("band", F.col("doc_id").alias(n), F.col("g").alias(f"g{n}")) for n in "ab")
@@ -147,7 +168,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = T
     """a, b, similarity of the pairs whose exact similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta"):
+        for batch in slices(slices(batches, "ta"), "tb"):
             sides = []
             for k in (2, 3):
                 data, offsets = buffers(batch.column(k))

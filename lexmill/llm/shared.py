@@ -100,7 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             start = end
 
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], overlap: int, with_batch: bool = False, size: int = PIECE_BYTES) -> Iterator[tuple]:
@@ -108,25 +108,14 @@ def pieces(batches: Iterator[pa.RecordBatch], overlap: int, with_batch: bool = F
 
     A longer text comes in pieces that end between words and have `overlap` words in common; base is the number of a piece's first word.
     """
-    from .kernels import buffers, word_bytes
+    from .kernels import buffers, cuts
 
     for batch in slices(batches, size=SLICE_BYTES // 2):
         data, offsets = buffers(batch.column(1))
-        end = len(data)
-        start, base = 0, 0
-        while start < end or start == 0:
-            stop, reach = end, size
-            if batch.num_rows == 1:
-                while start + reach < end:
-                    mask = word_bytes(data[start : start + reach])
-                    begins = np.flatnonzero(mask & ~np.concatenate(([False], mask[:-1])))
-                    if len(begins) > overlap + 1:  # the last word may go on beyond
-                        stop = start + int(begins[-1])
-                        break
-                    reach *= 2
-            part = data[start:stop]
-            found = (batch.column(0), base, part, offsets if stop - start == end else np.array([0, len(part)]))
+        if batch.num_rows > 1 or len(data) <= size:
+            found = (batch.column(0), 0, data, offsets)
+            yield (*found, batch) if with_batch else found
+            continue
+        for start, stop, base in cuts(data, overlap, size):
+            found = (batch.column(0), base, data[start:stop], np.array([0, stop - start]))
             yield (*found, batch) if with_batch else found
-            if stop == end:
-                break
-            base, start = base + len(begins) - 1 - overlap, start + int(begins[-1 - overlap])

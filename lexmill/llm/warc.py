@@ -72,15 +72,17 @@ def _all(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return F.when(F.rlike(c, F.lit(RARE)), _all(c)).otherwise(_few(c))
+    return F.when(~F.contains(c, F.lit("&")), c).when(F.rlike(c, F.lit(RARE)), _all(c)).otherwise(_few(c))
 
 
-def plain_text(html: Column) -> Column:
+def stripped(html: Column) -> Column:
     c = F.regexp_replace(html, HIDDEN, " ")
     c = F.regexp_replace(c, r"[ \t\r\n\f]+", " ")
-    c = F.regexp_replace(c, BREAKS, "\n")
-    c = unescape(F.regexp_replace(c, TAGS, ""))
-    c = F.regexp_replace(c, r" *\n[ \n]*", "\n")
+    return F.regexp_replace(F.regexp_replace(c, BREAKS, "\n"), TAGS, "")
+
+
+def tidy(text: Column) -> Column:
+    c = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.regexp_replace(F.regexp_replace(c, r" +", " "), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -105,13 +107,17 @@ def derive(records: DataFrame) -> DataFrame:
 
     Both refer to the response, name each other as concurrent, and keep its date, target, HTTP headers and payload digest.
     """
-    text = plain_text(F.col("payload"))
     lang = F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=\"?([A-Za-z-]+)", 1)
-    title = F.regexp_replace(unescape(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)), r"[\r\n]+", " ")
+    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
     links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref="))
-    r = records.select(
-        "page_id", F.col("record_id").alias("source"), "target_uri", "warc_date", "http_headers", "payload_digest", text.alias("body"),
-        F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\npayload-length: "), F.octet_length("payload").cast("string"), F.lit("\r\n")).alias("fields"),
+    source = [F.col("record_id").alias("source"), "page_id", "target_uri", "warc_date", "http_headers", "payload_digest"]
+    r = records.select(*source, stripped(F.col("payload")).alias("s"), title.alias("t"), lang.alias("lang"), links.alias("links"), F.octet_length("payload").alias("size"))
+    # out of a generator of one row, as nothing is pushed through it: else each mention of the text would strip it anew
+    r = r.select("source", "page_id", "target_uri", "warc_date", "http_headers", "payload_digest", F.inline(F.array(F.struct(F.col("s").alias("raw"), F.col("t").alias("title"), "lang", "links", "size"))))
+    title = F.regexp_replace(unescape(F.col("title")), r"[\r\n]+", " ")
+    r = r.select(
+        "page_id", "source", "target_uri", "warc_date", "http_headers", "payload_digest", tidy(unescape(F.col("raw"))).alias("body"),
+        F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), "lang", F.lit("\r\noutlinks: "), F.col("links").cast("string"), F.lit("\r\npayload-length: "), F.col("size").cast("string"), F.lit("\r\n")).alias("fields"),
     )
     ids = {k: urn(F.lit(k), F.col("source")) for k in ("metadata", "conversion")}
 
