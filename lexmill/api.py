@@ -28,6 +28,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: configuration.Config | None = None, now: Callable[[], float] = time.time):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
         self.config = config or configuration.Config()
+        self.asked: list[float] = []  # seconds that the searches of chats took
+        self.admission = hooks.Admission(self.config.auth, self.config.rate_limit)
         self.reload_segments()
 
     # tables
@@ -63,8 +65,15 @@ class Engine:
     reload_catalog = originals
 
     def guide(self) -> DataFrame:
+        """One row: the guide's file, or its default shape where there is none, with the conversations as they are now."""
         path = f"{self.root}/guide.json"
-        return files.guide(self.spark, path) if self._exists(path) else self.spark.createDataFrame([], files.CODE)
+        if self._exists(path):
+            g = files.guide(self.spark, path)
+        else:
+            total = 0 if self.index is None else self.index.segment_stats.agg(F.sum("n")).first()[0] or 0
+            g = self.spark.createDataFrame([(("3.0", "Loaded Corpus", "corpus", ([],), ([],), ([],), (total, {}), (0, [])))], files.CODE)
+        turns = self.turns().withColumn("source_refs", F.transform("source_refs", lambda x: x["chunk_id"]))
+        return g.drop("conversations").crossJoin(F.broadcast(conversation.rollup(turns)))  # a row each
 
     # additions
 
@@ -94,19 +103,33 @@ class Engine:
 
     # search
 
-    def search(self, query: str, top_k: int | None = None, says_yes: Callable[[str, str], bool] | None = None) -> DataFrame:
-        """chunk_id, score, rank, text. One segment: two phases and coherence; many: each for itself, then merged."""
+    def _hits(self, query: str, k: int) -> DataFrame:
+        """One segment: two phases and coherence; many: each for itself, then merged."""
+        q = self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        if len(self.segments()) == 1:
+            return search.source_coherence(search.two_phase(self.index, q, k, k1=self.config.search.bm25_k1, b=self.config.search.bm25_b), self.index.chunks)
+        if self.config.segments.mode == "sequential":
+            return search.sequential_segments(self.index, q, k, self.config.segments.early_stop_score)
+        return search.multi_segment(self.index, q, k)
+
+    def search(
+        self, query: str, top_k: int | None = None, says_yes: Callable[[str, str], bool] | None = None, judge: search.Judge | None = None, max_refine: int = C.REFINE_ROUNDS
+    ) -> DataFrame:
+        """query_id, query, chunk_id, text, score, rank. With a judge, terms that it asks for are searched as well, in at most max_refine rounds; with
+        says_yes, hits are scanned.
+        """
         k = top_k or self.config.search.top_k
         if self.index is None:
             return self.spark.createDataFrame([], "query_id long, query string, chunk_id string, text string, score double, rank int")
         q = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         wide = max(k, self.config.scanner.max_candidates) if says_yes else k
-        if len(self.segments()) == 1:
-            hits = search.source_coherence(search.two_phase(self.index, q, wide, k1=self.config.search.bm25_k1, b=self.config.search.bm25_b), self.index.chunks)
-        elif self.config.segments.mode == "sequential":
-            hits = search.sequential_segments(self.index, q, wide, self.config.segments.early_stop_score)
-        else:
-            hits = search.multi_segment(self.index, q, wide)
+
+        def previews(hits: list) -> list[str]:
+            keys = self.spark.createDataFrame([(r.segment_id, r.chunk_idx, r.rank) for r in hits], "segment_id int, chunk_idx long, rank int")
+            found = self.index.chunks.select(*ix.KEY, F.substring("text", 1, C.JUDGE_CHARS).alias("text")).join(F.broadcast(keys), ix.KEY)  # k rows
+            return [r.text for r in found.orderBy("rank").collect()]
+
+        hits = search.refine(self._hits, query, wide, previews, judge, max(1, max_refine)) if judge else self._hits(query, wide)
         h = hits.join(self.index.chunks.select(*ix.KEY, "chunk_id", "text"), ix.KEY).join(q, "query_id")
         h = h.select("query_id", "query", "chunk_id", "text", "score", F.col("rank").cast("int").alias("rank"))
         return (context.scan(h, says_yes) if says_yes else h).where(F.col("rank") <= k)
@@ -114,12 +137,14 @@ class Engine:
     def search_conversations(self, query: str, k: int = 3) -> DataFrame:
         return conversation.search(self.turns(), self.spark.createDataFrame([(0, query)], "query_id long, query string"), F.lit(int(self.now())), k)
 
-    def chat(self, question: str, ask: Callable[[str], str] | None = None, score: Callable[[list[str], list[str]], list[float]] | None = None, says_yes: Callable[[str, str], bool] | None = None) -> dict:
-        """Search, threshold, rerank, context with neighbours, answer, and the turn saved with its references."""
+    def chat(self, question: str, ask: Callable[[str], str] | None = None, score: Callable[[list[str], list[str]], list[float]] | None = None, says_yes: Callable[[str, str], bool] | None = None, judge: search.Judge | None = None) -> dict:
+        """Search (refined if there is a judge), threshold, rerank, context with neighbours, answer, and the turn saved with its references."""
+        began = self.now()
         n = 0 if self.index is None else self.index.segment_stats.agg(F.sum("n")).first()[0] or 0
         k = next((top for least, top in reversed(C.TIERS) if n >= least), self.config.search.top_k) if n else self.config.search.top_k
-        hits = context.rerank(search.score_threshold(self.search(question, k, says_yes), self.config.search.score_threshold), score)
+        hits = context.rerank(search.score_threshold(self.search(question, k, says_yes, judge), self.config.search.score_threshold), score)
         rows = hits.orderBy("rank").collect()
+        self.asked.append(self.now() - began)
         text = ""
         if rows:
             near = context.adjacent(self.index.chunks, hits.select("chunk_id"), self.config.search.context_window)
@@ -185,6 +210,10 @@ class Engine:
     def stats(self) -> DataFrame:
         return catalog.stats(self.index.chunks, self.index.doc_stats)
 
+    def query_averages(self) -> dict:
+        """How many questions this engine was asked, and the mean seconds of their searches."""
+        return {"queries": len(self.asked), "mean_seconds": sum(self.asked) / len(self.asked) if self.asked else 0.0}
+
     def original(self, file_id: str) -> DataFrame:
         """stored_path and MIME type of an original."""
         return self.originals().where(F.col("file_id") == file_id).select("file_id", "stored_path", catalog.mime(F.col("format")).alias("mime"))
@@ -199,5 +228,9 @@ class Engine:
     def feature(self, text: str) -> DataFrame:
         return catalog.feature(self.guide().select(F.inline("features.entries")), text)
 
+    def admit(self, client: str, path: str, key: str = "") -> int:
+        """The status of a request: 200, 401 without the right key, or 429 beyond the client's rate. /health is always admitted."""
+        return self.admission.admit(client, path, key, self.now())
+
     def health(self) -> dict:
         return {"status": "ok", "segments": self.segments()}

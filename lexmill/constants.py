@@ -27,7 +27,6 @@ KEYWORD_CAP = 200
 NEIGHBOUR_KEYWORDS = 5
 SIGNATURE_SIZE = 64
 TF_MOST = 65535
-SHARD_DOCS, SHARDS_MOST = 100_000, 32
 
 # text
 SNIPPET_BYTES = 200

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+
+from .config import Auth, RateLimit
+from .streaming.limiter import fold
+
 RETRYABLE = ("timeout", "timed out", "connection", "rate limit", "429", "500", "502", "503", "504")
 
 
@@ -74,3 +80,25 @@ def judge_or_found(call: Callable[[str], str], prompt: str) -> str:
         return call(prompt) or "FOUND"
     except Exception:  # noqa: BLE001
         return "FOUND"
+
+
+class Admission:
+    """Which requests are let in: those with the key, if one is asked for, and as many of a client as its bucket of tokens holds."""
+
+    OPEN = frozenset(["/health"])
+
+    def __init__(self, auth: Auth, rate: RateLimit):
+        self.auth, self.rate = auth, rate
+        self.buckets: dict[str, tuple[float, float]] = {}
+
+    def admit(self, client: str, path: str, key: str, now: float) -> int:
+        if path in self.OPEN:
+            return 200
+        if self.auth.enabled and not hmac.compare_digest(key.removeprefix("Bearer ").encode(), self.auth.api_key.encode()):
+            return 401
+        if self.rate.enabled:
+            allowed, tokens, last = fold(np.array([now]), float(self.rate.requests_per_minute), *self.buckets.get(client, (None, None)))
+            self.buckets[client] = (tokens, last)
+            if not allowed[0]:
+                return 429
+        return 200

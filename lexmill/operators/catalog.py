@@ -38,7 +38,7 @@ def stats(chunk_table: DataFrame, doc_stats: DataFrame) -> DataFrame:
 
 
 def originals_of(chunk_ids: DataFrame, originals: DataFrame) -> DataFrame:
-    """Each chunk with the original file it is from, if known; of several the one listed last."""
+    """Each chunk with the original file it is from, if known; of several the one with the greatest file_id."""
     o = originals.select("file_id", "original_name", "category", "stored_path", "format", F.posexplode("chunk_ids").alias("p", "chunk_id"))
     last = o.groupBy("chunk_id").agg(F.max_by(F.struct("file_id", "original_name", "category", "stored_path", "format"), "file_id").alias("o"))
     return chunk_ids.join(last, "chunk_id", "left").select("chunk_id", "o.*")

@@ -22,6 +22,25 @@ def adjacent(chunk_table: DataFrame, ids: DataFrame, window: int = C.CONTEXT_WIN
     return wanted.join(near, ["source_file", "n"]).select("chunk_id", "near_id", "distance", "near_text")
 
 
+def containing(chunk_table: DataFrame, needles: DataFrame) -> DataFrame:
+    """query_id, chunk_idx of the chunks whose text, in lower case, contains the needle (query_id, needle).
+
+    A word inside a needle is a whole word of each text that contains it, so its longest one joins them; only needles without an inner word
+    are held against all chunks.
+    """
+    cut = r"[^a-z0-9]+"
+    words = F.filter(F.split("needle", cut), lambda w: w != "")
+    edge = lambda side: F.regexp_like(side, F.lit("[a-z0-9]")).cast("int")
+    inner = F.slice(words, F.lit(1) + edge(F.substring("needle", 1, 1)), F.greatest(F.size(words) - edge(F.substring("needle", 1, 1)) - edge(F.substring("needle", -1, 1)), F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    n = needles.select("query_id", "needle", longest.alias("word"))
+    c = chunk_table.select("chunk_idx", F.lower("text").alias("hay"))
+    pairs = c.select("chunk_idx", F.explode(F.array_distinct(F.split("hay", cut))).alias("word")).join(n.where("word != ''"), "word")
+    by_word = pairs.join(c, "chunk_idx").where(F.contains("hay", "needle"))
+    short = c.join(n.where("word = ''"), F.contains("hay", "needle"))
+    return by_word.select("query_id", "chunk_idx").unionByName(short.select("query_id", "chunk_idx"))
+
+
 def assemble(hits: DataFrame, texts: DataFrame, limit: int = C.CONTEXT_CHARS) -> DataFrame:
     """query_id, context: the hits' texts in rank order, conversations marked, divided by rules, cut at the limit."""
     t = hits.join(texts.select("chunk_id", "text"), "chunk_id")

@@ -82,6 +82,13 @@ def latest(turn_table: DataFrame, n: int = C.GUIDE_SUMMARIES) -> DataFrame:
     return turn_table.orderBy(F.desc("ts")).limit(n)
 
 
+def rollup(turn_table: DataFrame, n: int = C.GUIDE_SUMMARIES) -> DataFrame:
+    """One row, conversations: how many turns there are, and of the last n their id, the beginning of the question and the references, oldest first."""
+    last = latest(turn_table, n).select("ts", F.struct("chunk_id", F.substring("user_message", 1, 100).alias("summary"), F.coalesce("source_refs", F.array().cast("array<string>")).alias("source_refs")).alias("entry"))
+    entries = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "entry"))), lambda x: x["entry"]).alias("summaries"))
+    return turn_table.agg(F.count("*").alias("count")).crossJoin(entries).select(F.struct("count", "summaries").alias("conversations"))
+
+
 def without_conversations(chunk_table: DataFrame) -> DataFrame:
     return chunk_table.where(~F.col("chunk_id").startswith("CH"))
 

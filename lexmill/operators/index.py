@@ -1,7 +1,8 @@
 """The index as tables: keywords of chunks, their stems, propagation between neighbours, postings and statistics.
 
 Everything hangs on one keyed table, doc_keywords(segment_id, chunk_idx, keyword, tf, pos, origin, stem). Shuffles: one to count
-keywords in chunks (its map tasks combine), one for document frequencies, one join to the distinct words' stems.
+keywords in chunks (its map tasks combine), one for document frequencies, one join to the distinct words' stems. Segments do not see each
+other: all frequencies are of one segment, so one that is built alone equals its part of a joint build.
 """
 
 from __future__ import annotations
@@ -32,7 +33,12 @@ def chunk_keywords(chunk_table: DataFrame, with_bigrams: bool = True) -> DataFra
 
 
 def keyword_df(keywords: DataFrame) -> DataFrame:
-    return keywords.groupBy("keyword").agg(F.count("*").alias("df"))
+    return keywords.groupBy("segment_id", "keyword").agg(F.count("*").alias("df"))
+
+
+def segment_sizes(chunk_table: DataFrame) -> DataFrame:
+    """segment_id, n_chunks: a row for each segment, small enough to be sent to all tasks."""
+    return F.broadcast(with_segment(chunk_table).groupBy("segment_id").agg(F.count("*").alias("n_chunks")))
 
 
 def propagate(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
@@ -41,8 +47,7 @@ def propagate(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
     Adds the column origin: own, prev or next (prev wins). Ranks go on after the chunk's own keywords.
     """
     c = with_segment(chunk_table).select(*KEY, "source_file")
-    n = c.select(F.count("*").alias("n_chunks"))
-    scored = keywords.where(~F.col("keyword").contains("_")).join(keyword_df(keywords), "keyword").crossJoin(n)
+    scored = keywords.where(~F.col("keyword").contains("_")).join(keyword_df(keywords), ["segment_id", "keyword"]).join(segment_sizes(c), "segment_id")
     scored = scored.withColumn("idf", F.log(F.col("n_chunks") / (1 + F.col("df"))))
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("idf"), "keyword"))).where(F.col("r") <= C.NEIGHBOUR_KEYWORDS).join(c, KEY)
     moved = None
@@ -57,9 +62,9 @@ def propagate(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
     return keywords.withColumn("origin", F.lit("own")).unionByName(added)
 
 
-def ranked_by_tf2idf(keywords: DataFrame, n_chunks: DataFrame) -> DataFrame:
+def ranked_by_tf2idf(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
     """Adds kw_rank: by tf squared times idf, with document frequencies as they are now; ties keep their place."""
-    k = keywords.join(keyword_df(keywords), "keyword").crossJoin(n_chunks.select(F.count("*").alias("n_chunks")))
+    k = keywords.join(keyword_df(keywords), ["segment_id", "keyword"]).join(segment_sizes(chunk_table), "segment_id")
     score = F.col("tf") * F.col("tf") * (F.log(F.col("n_chunks")) - F.log1p("df"))
     k = k.withColumn("tf2idf", score)
     return k.withColumn("kw_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(F.round("tf2idf", 9)), "pos"))).drop("n_chunks")
@@ -70,11 +75,11 @@ def capped(ranked: DataFrame, cap: int = C.KEYWORD_CAP, rank: str = "kw_rank") -
 
 
 def without_hapax_bigrams(keywords: DataFrame) -> DataFrame:
-    return keywords.join(keyword_df(keywords), "keyword").where(~((F.col("df") <= 1) & F.col("keyword").contains("_"))).drop("df")
+    return keywords.join(keyword_df(keywords), ["segment_id", "keyword"]).where(~((F.col("df") <= 1) & F.col("keyword").contains("_"))).drop("df")
 
 
 def postings(doc_keywords: DataFrame) -> DataFrame:
-    """segment_id, stem, chunk_idx, each once; bigrams that only one chunk has are left out."""
+    """segment_id, stem, chunk_idx, each once; bigrams that only one chunk of the segment has are left out."""
     return without_hapax_bigrams(doc_keywords).select("segment_id", "stem", "chunk_idx").distinct()
 
 

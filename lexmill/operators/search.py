@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions.porter import stem_column
+from ..sources.scratch import shared_folder
 from .index import KEY, Index
 
 HIT = ["query_id", "segment_id", "chunk_idx"]
@@ -100,20 +101,27 @@ def multi_segment(index: Index, queries: DataFrame, k: int = C.TOP_K) -> DataFra
 
 
 def sequential_segments(index: Index, queries: DataFrame, k: int = C.TOP_K, early: float = 0.0) -> DataFrame:
-    """One segment after the other, keeping the best 2 k, until the best of every query reaches `early` (0: never). Runs a job for each segment."""
+    """One segment after the other, by a job for each; a query that has a hit of `early` or more asks no other segment (0: never).
+
+    A segment's best k hits are written in the shared folder; the driver sees only the ids of the queries that go on.
+    """
     spark = index.chunks.sparkSession
-    kept: list = []
-    schema = "query_id long, segment_id int, chunk_idx long, score double"
-    for (segment,) in index.segment_stats.select("segment_id").orderBy("segment_id").collect():
-        part = Index(**{n: getattr(index, n).where(F.col("segment_id") == segment) for n in Index.TABLES})
-        found = multi_segment(part, queries, k).select("query_id", F.col("segment_id").cast("int").alias("segment_id"), F.col("chunk_idx").cast("long").alias("chunk_idx"), "score")
-        best: dict[int, list] = {}
-        for r in [*kept, *map(tuple, found.collect())]:
-            best.setdefault(r[0], []).append(r)
-        kept = [r for rows in best.values() for r in sorted(rows, key=lambda r: (-r[3], r[1], r[2]))[: 2 * k]]
-        if early > 0 and best and all(max(r[3] for r in rows) >= early for rows in best.values()):
-            break
-    return top_k(spark.createDataFrame(kept, schema), k)
+    path = shared_folder(spark, "hits")
+    asked = queries
+    numbers = [r.segment_id for r in index.segment_stats.select("segment_id").orderBy("segment_id").collect()]
+    if not numbers:
+        return top_k(spark.createDataFrame([], "query_id long, segment_id int, chunk_idx long, score double"), k)
+    for n, segment in enumerate(numbers):
+        part = Index(**{t: getattr(index, t).where(F.col("segment_id") == segment) for t in Index.TABLES})
+        found = multi_segment(part, asked, k).select("query_id", F.col("segment_id").cast("int").alias("segment_id"), F.col("chunk_idx").cast("long").alias("chunk_idx"), "score")
+        found.write.mode("overwrite").parquet(f"{path}/n={n}")
+        if early > 0:
+            done = spark.read.schema(found.schema).parquet(f"{path}/n={n}").where(F.col("score") >= early).select("query_id").distinct()
+            rest = [r.query_id for r in asked.join(done, "query_id", "left_anti").select("query_id").collect()]
+            if not rest:
+                break
+            asked = queries.join(F.broadcast(spark.createDataFrame([(q,) for q in rest], "query_id long")), "query_id", "left_semi")  # as many as were asked
+    return top_k(spark.read.schema(found.schema).parquet(path).select(*found.columns), k)
 
 
 def source_coherence(hits: DataFrame, sources: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from .. import constants as C
 from ..functions import porter
 from ..functions.text import CHUNK_ID
-from .queries import NOW, SEGMENT_TOKENS
+from .queries import EARLY, NOW, ROUND_WORD, SEGMENT_TOKENS
 
 
 def _list(words) -> str:
@@ -77,15 +77,15 @@ def _chain(s: int) -> dict[str, str]:
         f"words_{s}": f"SELECT segment_id, chunk_idx, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_filter(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]), lambda b: length(b) <= {C.BIGRAM_MOST_LENGTH}) ELSE [] END)) AS keyword FROM toks_{s}",
         f"tfs_{s}": f"SELECT segment_id, chunk_idx, keyword, least(count(*), {C.TF_MOST}) AS tf FROM words_{s} GROUP BY ALL",
         f"ckw_{s}": f"SELECT segment_id, chunk_idx, keyword, tf, row_number() OVER (PARTITION BY chunk_idx ORDER BY tf DESC, keyword) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY chunk_idx, contains(keyword, '_') ORDER BY tf DESC, keyword) AS r FROM tfs_{s}) WHERE NOT contains(keyword, '_') OR r <= {C.BIGRAMS_PER_CHUNK}",
-        f"cdf_{s}": f"SELECT keyword, count(*) AS df FROM ckw_{s} GROUP BY keyword",
-        f"top5_{s}": f"SELECT * FROM (SELECT k.segment_id, chunk_idx, source_file, keyword, row_number() OVER (PARTITION BY chunk_idx ORDER BY df, keyword) AS r FROM ckw_{s} k JOIN cdf_{s} USING (keyword) JOIN chunks_{s} USING (segment_id, chunk_idx) WHERE NOT contains(keyword, '_')) WHERE r <= {C.NEIGHBOUR_KEYWORDS}",
+        f"cdf_{s}": f"SELECT segment_id, keyword, count(*) AS df FROM ckw_{s} GROUP BY ALL",
+        f"top5_{s}": f"SELECT * FROM (SELECT k.segment_id, chunk_idx, source_file, keyword, row_number() OVER (PARTITION BY chunk_idx ORDER BY df, keyword) AS r FROM ckw_{s} k JOIN cdf_{s} USING (segment_id, keyword) JOIN chunks_{s} USING (segment_id, chunk_idx) WHERE NOT contains(keyword, '_')) WHERE r <= {C.NEIGHBOUR_KEYWORDS}",
         f"moved_{s}": f"SELECT segment_id, chunk_idx + 1 AS chunk_idx, source_file, keyword, 'prev' AS origin, r FROM top5_{s} UNION ALL SELECT segment_id, chunk_idx - 1, source_file, keyword, 'next', r FROM top5_{s}",
         f"fresh_{s}": f"SELECT segment_id, chunk_idx, keyword, arg_min(origin, {order}) AS origin, arg_min(r, {order}) AS r FROM moved_{s} m SEMI JOIN chunks_{s} c USING (segment_id, chunk_idx, source_file) ANTI JOIN ckw_{s} k USING (segment_id, chunk_idx, keyword) GROUP BY segment_id, chunk_idx, keyword",
         f"owns_{s}": f"SELECT chunk_idx, max(pos) AS own FROM ckw_{s} GROUP BY chunk_idx",
         f"dk_{s}": f"SELECT segment_id, chunk_idx, keyword, tf, pos, 'own' AS origin FROM ckw_{s} UNION ALL SELECT segment_id, chunk_idx, keyword, 1, coalesce(own, 0) + row_number() OVER (PARTITION BY chunk_idx ORDER BY {order}, r, keyword), origin FROM fresh_{s} LEFT JOIN owns_{s} USING (chunk_idx)",
-        f"ddf_{s}": f"SELECT keyword, count(*) AS df FROM dk_{s} GROUP BY keyword",
+        f"ddf_{s}": f"SELECT segment_id, keyword, count(*) AS df FROM dk_{s} GROUP BY ALL",
         f"dks_{s}": f"SELECT d.*, stem FROM dk_{s} d JOIN porter ON word = keyword",
-        f"post_{s}": f"SELECT DISTINCT segment_id, stem, chunk_idx FROM dks_{s} JOIN ddf_{s} USING (keyword) WHERE NOT (df <= 1 AND contains(keyword, '_'))",
+        f"post_{s}": f"SELECT DISTINCT segment_id, stem, chunk_idx FROM dks_{s} JOIN ddf_{s} USING (segment_id, keyword) WHERE NOT (df <= 1 AND contains(keyword, '_'))",
         f"sst_{s}": f"SELECT segment_id, stem, count(*) AS df FROM post_{s} GROUP BY ALL",
         f"dst_{s}": f"SELECT segment_id, chunk_idx, count(*) AS dl FROM dk_{s} GROUP BY ALL",
         f"seg_{s}": f"SELECT segment_id, count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM chunks_{s} LEFT JOIN dst_{s} USING (segment_id, chunk_idx) GROUP BY segment_id",
@@ -146,6 +146,14 @@ BASE |= {
     "refs": "SELECT chunk_id, number, ts, list_transform([0, 1, 5], lambda x: 'src' || (number + x) % 20 || '_001') AS source_refs FROM turn",
 }
 
+_SECOND_ROUND = {n: f"{n}_r" for n in ("qwords", "qstems", "bm_0", "rank_0", "cand_0", "second_0", "two_all", "two_ranked", "two")}
+BASE |= {r: re.sub(r"\w+", lambda m: _SECOND_ROUND.get(m[0], m[0]), BASE[n]) for n, r in _SECOND_ROUND.items()}
+BASE["qwords_r"] = f"SELECT DISTINCT item_id AS query_id, unnest({tokens('words')}) AS term FROM (SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= {ROUND_WORD}), ' ') AS words FROM benchmark)"
+BASE["merged"] = _rank("(SELECT query_id, segment_id, chunk_idx, max(score) AS score FROM (SELECT query_id, segment_id, chunk_idx, score FROM two UNION ALL SELECT query_id, segment_id, chunk_idx, score FROM two_r) GROUP BY ALL)")
+BASE["seg_all"] = "SELECT query_id, segment_id, chunk_idx, score FROM seg_second"
+BASE["seg_most"] = "SELECT *, max(most) OVER (PARTITION BY query_id ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT query_id, segment_id, max(score) AS most FROM seg_all GROUP BY ALL)"
+BASE["seg_early"] = _rank(f"(SELECT a.* FROM seg_all a JOIN seg_most USING (query_id, segment_id) WHERE coalesce(before, 0) < {EARLY})")
+
 PORTER = {
     0: porter.sql("SELECT keyword AS word FROM dk_0 UNION SELECT term FROM qwords"),
     1: porter.sql("SELECT keyword AS word FROM dk_1 UNION SELECT term FROM qwords"),
@@ -177,8 +185,12 @@ def put(final: str, stems: int = 0) -> str:
 
 
 HITS = "query_id, chunk_idx::BIGINT AS chunk_idx, rank, round(score, 6) AS score"
-HEAD = "left(text, 50)"
-ORDS = f"list_sum(list_transform(string_split({HEAD}, ''), lambda c: unicode(c)))"
+
+
+def _ords(n: int) -> str:
+    return f"list_sum(list_transform(string_split(left(text, {n}), ''), lambda c: unicode(c)))"
+
+
 PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in C.SELF_PHRASES) + "]"
 NAME = "source || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '_2024.txt' END"
 IDENT = "CASE WHEN doc_id % 5 = 0 THEN 'CH' || doc_id ELSE source || '_CODE_1' END"
@@ -207,8 +219,8 @@ SQL: dict[str, str] = {
     "postings_df": put("SELECT stem, df FROM sst_0"),
     "posting_lists": put("SELECT stem, md5(string_agg(chunk_idx::VARCHAR, ',' ORDER BY chunk_idx)) AS digest, count(*) AS df FROM post_0 GROUP BY stem"),
     "dictionary_stems": put("SELECT stem, count(*) AS n_keywords, min(keyword) AS first FROM (SELECT DISTINCT keyword, stem FROM dks_0) GROUP BY stem"),
-    "tf2idf_cap": put(f"SELECT chunk_idx, kw_rank, keyword, round(s, 6) AS tf2idf FROM (SELECT *, row_number() OVER (PARTITION BY chunk_idx ORDER BY round(s, 9) DESC, pos) AS kw_rank FROM (SELECT chunk_idx, keyword, pos, (tf * tf)::DOUBLE * (ln((SELECT count(*) FROM base_chunks)::DOUBLE) - ln(1.0::DOUBLE + df)) AS s FROM dk_0 JOIN ddf_0 USING (keyword))) WHERE kw_rank <= {C.KEYWORD_CAP}"),
-    "hapax_filter": put("SELECT chunk_idx, count(*) AS n FROM dk_0 JOIN ddf_0 USING (keyword) WHERE NOT (df <= 1 AND contains(keyword, '_')) GROUP BY chunk_idx"),
+    "tf2idf_cap": put(f"SELECT chunk_idx, kw_rank, keyword, round(s, 6) AS tf2idf FROM (SELECT *, row_number() OVER (PARTITION BY chunk_idx ORDER BY round(s, 9) DESC, pos) AS kw_rank FROM (SELECT chunk_idx, keyword, pos, (tf * tf)::DOUBLE * (ln((SELECT count(*) FROM base_chunks)::DOUBLE) - ln(1.0::DOUBLE + df)) AS s FROM dk_0 JOIN ddf_0 USING (segment_id, keyword))) WHERE kw_rank <= {C.KEYWORD_CAP}"),
+    "hapax_filter": put("SELECT chunk_idx, count(*) AS n FROM dk_0 JOIN ddf_0 USING (segment_id, keyword) WHERE NOT (df <= 1 AND contains(keyword, '_')) GROUP BY chunk_idx"),
     "doc_lengths": put("SELECT chunk_idx, dl, round(avgdl, 6) AS avgdl FROM dst_0, seg_0"),
     "chapter_signature": put(f"""SELECT chapter_code, source_file, chunk_count, first_chunk, last_chunk, signature FROM (SELECT chapter_code, source_file, count(*) AS chunk_count, min(chunk_idx) AS first_chunk, max(chunk_idx) AS last_chunk FROM base_chunks GROUP BY ALL)
         JOIN (SELECT chapter_code, string_agg(keyword, ' ' ORDER BY r) AS signature FROM (SELECT chapter_code, keyword, row_number() OVER (PARTITION BY chapter_code ORDER BY count(*) DESC, keyword) AS r FROM ckw_0 JOIN base_chunks USING (chunk_idx) WHERE NOT contains(keyword, '_') GROUP BY chapter_code, keyword) WHERE r <= {C.SIGNATURE_SIZE} GROUP BY chapter_code) USING (chapter_code)"""),
@@ -224,16 +236,18 @@ SQL: dict[str, str] = {
     "segment_bm25_top8": put("SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM seg_top", 1),
     "multi_segment_top8": put("SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM multi", 1),
     "sequential_segments_top8": put("SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM multi", 1),
+    "sequential_segments_early": put(f"SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM seg_early WHERE rank <= {C.TOP_K}", 1),
+    "merged_rounds": put(f"SELECT {HITS} FROM merged WHERE rank <= {C.TOP_K}"),
     "source_coherence": put(f"SELECT {HITS} FROM coherent_8"),
     "score_threshold": put(f"SELECT {HITS} FROM coherent_20 c JOIN (SELECT query_id, score AS top FROM coherent_20 WHERE rank = 1) USING (query_id) WHERE c.score >= top * 0.5::DOUBLE"),
     "dynamic_top_k": put(f"SELECT n_chunks, (CASE WHEN n_chunks = 0 THEN 8 {TIERS} END)::BIGINT AS top_k FROM (SELECT count(*) AS n_chunks FROM base_chunks)"),
-    "reranked": put(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDS} DESC, rank)::BIGINT AS rank, chunk_id, {ORDS}::DOUBLE AS score FROM two20 JOIN base_chunks USING (chunk_idx)"),
-    "scanned": put(f"SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, {ORDS} % 2 = 0 AS yes, bool_or({ORDS} % 2 = 0) OVER (PARTITION BY query_id) AS any_yes FROM two20 JOIN base_chunks USING (chunk_idx)) WHERE yes OR NOT any_yes) WHERE rank <= {C.SCANNER_KEEP}"),
+    "reranked": put(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ords(C.RERANK_CHARS)} DESC, rank)::BIGINT AS rank, chunk_id, {_ords(C.RERANK_CHARS)}::DOUBLE AS score FROM two20 JOIN base_chunks USING (chunk_idx)"),
+    "scanned": put(f"SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, {_ords(C.SCANNER_CHARS)} % 2 = 0 AS yes, bool_or({_ords(C.SCANNER_CHARS)} % 2 = 0) OVER (PARTITION BY query_id) AS any_yes FROM two20 JOIN base_chunks USING (chunk_idx)) WHERE yes OR NOT any_yes) WHERE rank <= {C.SCANNER_KEEP}"),
     "recall_at_8": put("SELECT count(*) AS n_items, count(hit) AS n_found FROM (SELECT query_id, max(CASE WHEN t.chunk_idx IS NOT NULL THEN 1 END) AS hit FROM (SELECT item_id AS query_id, chunk_idx FROM benchmark b, base_chunks c WHERE contains(lower(c.text), lower(b.text))) LEFT JOIN two t USING (query_id, chunk_idx) GROUP BY query_id)"),
-    "adjacent_chunks": put("SELECT a.chunk_id, b.chunk_id AS near_id, b.n - a.n AS distance, md5(b.text) AS digest FROM base_chunks a JOIN base_chunks b ON a.source_file = b.source_file AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.chunk_idx % 7 = 0"),
+    "adjacent_chunks": put("SELECT a.chunk_id, b.chunk_id AS near_id, b.n - a.n AS distance, md5(b.text) AS digest FROM base_chunks a JOIN base_chunks b ON a.source_file = b.source_file AND b.n BETWEEN a.n - 2 AND a.n + 2"),
     "assembled_context": put("SELECT query_id, length(c)::INTEGER AS size, md5(c) AS digest FROM (SELECT query_id, CASE WHEN length(c) <= 32000 THEN c ELSE CASE WHEN contains(left(c, 32000), '.') AND 32000 - instr(reverse(left(c, 32000)), '.') > 25600 THEN left(c, 32001 - instr(reverse(left(c, 32000)), '.')) ELSE left(c, 32000) END || chr(10) || chr(10) || '[Context truncated due to size limit]' END AS c FROM (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c FROM two3 JOIN base_chunks USING (chunk_idx) GROUP BY query_id))"),
     "reconstructed": put("SELECT source_file AS request_id, md5(string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_id DESC)) AS digest, round(strlen(string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_id DESC))::DOUBLE / (sum(length(chunk_id) + 2) + 8), 6) AS ratio FROM base_chunks GROUP BY source_file"),
-    "chunk_lookup": put("SELECT chunk_id, chunk_idx, md5(text) AS digest FROM base_chunks WHERE chunk_idx % 11 = 0"),
+    "chunk_lookup": put("SELECT chunk_id, chunk_idx, md5(text) AS digest FROM base_chunks"),
     "conversation_turns": put("SELECT conv_id, turn, chunk_id, ts, md5(text) AS digest FROM turn"),
     "chat_keywords": put("SELECT chunk_id, keyword, tf, rank FROM chat"),
     "conversation_search": put("SELECT query_id, rank, chunk_id, score FROM conv WHERE rank <= 3"),
@@ -243,6 +257,7 @@ SQL: dict[str, str] = {
     "turn_sources": put("SELECT chunk_id, unnest([0, 1, 2])::BIGINT AS pos, unnest(source_refs) AS ref FROM refs"),
     "follow_up_context": put("SELECT chunk_id, length(CASE WHEN length(c) <= 32000 THEN c ELSE CASE WHEN contains(left(c, 32000), '.') AND 32000 - instr(reverse(left(c, 32000)), '.') > 25600 THEN left(c, 32001 - instr(reverse(left(c, 32000)), '.')) ELSE left(c, 32000) END || chr(10) || chr(10) || '[Context truncated due to size limit]' END)::INTEGER AS size FROM (SELECT r.chunk_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS c FROM (SELECT chunk_id, unnest([0, 1, 2]) AS pos, unnest(source_refs) AS ref FROM refs) r JOIN base_chunks b ON b.chunk_id = ref GROUP BY r.chunk_id)"),
     "guide_last100": put(f"SELECT chunk_id, ts FROM turn ORDER BY ts DESC LIMIT {C.GUIDE_SUMMARIES}"),
+    "conversation_rollup": put(f"SELECT (SELECT count(*) FROM turn) AS count, count(*) AS n_summaries, md5(string_agg(chunk_id || '|' || left(user_message, 100) || '|' || array_to_string(source_refs, ','), ';' ORDER BY ts)) AS digest FROM (SELECT t.chunk_id, t.ts, t.user_message, r.source_refs FROM turn t JOIN refs r USING (chunk_id) ORDER BY t.ts DESC LIMIT {C.GUIDE_SUMMARIES})"),
     "max_conversation": put("SELECT max(number) AS max_number FROM turn"),
     "cleared_conversations": put("SELECT chunk_id FROM base_chunks"),
     "lru_turns": f"SELECT *, row_number() OVER (ORDER BY last_access DESC, key) AS rank FROM (SELECT user_id AS key, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY 2 DESC, 1 LIMIT {C.LRU_TURNS})",

@@ -22,6 +22,8 @@ from ..streaming import limiter
 
 SEGMENT_TOKENS = 100_000
 NOW = 1_700_500_000
+ROUND_WORD = 6  # letters of the words that make up the second round of merged_rounds
+EARLY = 40.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _built: dict[tuple, ix.Index] = {}
 
@@ -279,6 +281,13 @@ def sequential_segments_top8(spark, d):
     return h.select(*long("query_id", "segment_id", "chunk_idx", "rank"), F.round("score", 6).alias("score"))
 
 
+@query
+def sequential_segments_early(spark, d):
+    """A query ends at the first segment where it has a hit of EARLY or more."""
+    h = search.sequential_segments(segmented_index(spark, d), items(spark, d), early=EARLY)
+    return h.select(*long("query_id", "segment_id", "chunk_idx", "rank"), F.round("score", 6).alias("score"))
+
+
 @query
 def source_coherence(spark, d):
     i = index(spark, d)
@@ -298,10 +307,10 @@ def dynamic_top_k(spark, d):
 
 @query
 def merged_rounds(spark, d):
-    """Hits of the items and of their first five words, each with its better score."""
+    """Hits of the items and of all their long words, each with its better score."""
     i, q = index(spark, d), items(spark, d)
-    short = q.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 5), " "))
-    m = search.merged(search.two_phase(i, q), search.two_phase(i, short))
+    again = q.withColumn("query", F.array_join(F.filter(F.split("query", " "), lambda w: F.length(w) >= ROUND_WORD), " "))
+    m = search.merged(search.two_phase(i, q), search.two_phase(i, again))
     return _hits(m.where(F.col("rank") <= C.TOP_K))
 
 
@@ -332,15 +341,15 @@ def _with_text(spark, d, k):
 
 @query
 def reranked(spark, d):
-    """Hits reranked by an outside scorer; here the length of the text."""
-    r = context.rerank(_with_text(spark, d, 20), lambda queries, texts: [float(sum(map(ord, t[:50]))) for t in texts])
+    """Hits reranked by an outside scorer; here the sum of the characters that it is given."""
+    r = context.rerank(_with_text(spark, d, 20), lambda queries, texts: [float(sum(map(ord, t))) for t in texts])
     return r.select(*long("query_id", "rank"), "chunk_id", "score")
 
 
 @query
 def scanned(spark, d):
-    """Hits that a scanner says yes to; here those with an even length."""
-    r = context.scan(_with_text(spark, d, 20), lambda q, t: sum(map(ord, t[:50])) % 2 == 0)
+    """Hits that a scanner says yes to; here where the characters that it is given have an even sum."""
+    r = context.scan(_with_text(spark, d, 20), lambda q, t: sum(map(ord, t)) % 2 == 0)
     return r.select(*long("query_id", "rank"), "chunk_id")
 
 
@@ -349,8 +358,7 @@ def recall_at_8(spark, d):
     """Items that stand word for word in a document, and how many of them have its chunk among their first 8 hits."""
     i = index(spark, d)
     q = items(spark, d).withColumn("needle", F.lower("query"))
-    c = i.chunks.select("chunk_idx", F.lower("text").alias("hay"))
-    true = c.crossJoin(q).where(F.contains(F.col("hay"), F.col("needle"))).select("query_id", "chunk_idx")
+    true = context.containing(i.chunks, q).select("query_id", "chunk_idx")
     hit = search.two_phase(i, items(spark, d)).join(true, ["query_id", "chunk_idx"]).select("query_id").distinct().withColumn("hit", F.lit(1))
     return true.select("query_id").distinct().join(hit, "query_id", "left").agg(F.count("*").alias("n_items"), F.count("hit").alias("n_found"))
 
@@ -361,8 +369,7 @@ def recall_at_8(spark, d):
 @query
 def adjacent_chunks(spark, d):
     i = index(spark, d)
-    ids = i.chunks.where("chunk_idx % 7 = 0").select("chunk_id")
-    return context.adjacent(i.chunks, ids, 2).select("chunk_id", "near_id", *long("distance"), F.md5("near_text").alias("digest"))
+    return context.adjacent(i.chunks, i.chunks.select("chunk_id"), 2).select("chunk_id", "near_id", *long("distance"), F.md5("near_text").alias("digest"))
 
 
 @query
@@ -384,7 +391,7 @@ def reconstructed(spark, d):
 @query
 def chunk_lookup(spark, d):
     i = index(spark, d)
-    return context.chunk_by_id(i.chunks, i.chunks.where("chunk_idx % 11 = 0").select("chunk_id")).select("chunk_id", *long("chunk_idx"), F.md5("text").alias("digest"))
+    return context.chunk_by_id(i.chunks, i.chunks.select("chunk_id")).select("chunk_id", *long("chunk_idx"), F.md5("text").alias("digest"))
 
 
 # conversations
@@ -445,8 +452,7 @@ def turn_sources(spark, d):
 @query
 def follow_up_context(spark, d):
     i = index(spark, d)
-    r = refs(spark, d).withColumn("source_refs", F.transform("source_refs", lambda x: F.replace(x, F.lit("src"), F.lit("src"))))
-    return conversation.follow_up(r, i.chunks).select("chunk_id", F.length("context").alias("size"))
+    return conversation.follow_up(refs(spark, d), i.chunks).select("chunk_id", F.length("context").alias("size"))
 
 
 @query
@@ -454,6 +460,14 @@ def guide_last100(spark, d):
     return conversation.latest(turns(spark, d)).select("chunk_id", *long("ts"))
 
 
+@query
+def conversation_rollup(spark, d):
+    t = turns(spark, d).join(refs(spark, d).select("chunk_id", "source_refs"), "chunk_id")
+    r = conversation.rollup(t).select("conversations.*")
+    e = F.transform("summaries", lambda x: F.concat_ws("|", x["chunk_id"], x["summary"], F.array_join(x["source_refs"], ",")))
+    return r.select(*long("count"), F.size("summaries").cast("long").alias("n_summaries"), F.md5(F.array_join(e, ";")).alias("digest"))
+
+
 @query
 def max_conversation(spark, d):
     t = turns(spark, d).select("chunk_id")

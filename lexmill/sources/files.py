@@ -12,7 +12,7 @@ from ..constants import KEYWORD_CAP
 MANIFEST = "chunk_id string, type string, source_file string, chapter_code string, code string, token_start long, token_end long, offset long, length long, compression string, summary string, prev_chunk_id string, next_chunk_id string, keywords array<string>, tf map<string,int>, timestamp long, user_message string, system_response string, source_refs array<struct<chunk_id:string,relevance_score:double,snippet:string>>, text string"
 ORIGINALS = "file_id string, original_name string, category string, stored_path string, format string, chunk_ids array<string>"
 REGISTRY = "segments array<struct<id:int,dir:string>>"
-CODE = "code_files struct<files:array<struct<filename:string,chunk_ids:array<string>>>>, fixes struct<entries:array<struct<fix_id:string,affected_code_chunks:array<string>>>>, features struct<entries:array<struct<feature_id:string,code_chunks:array<string>,conversation_refs:array<string>>>>, chunks struct<total:long,by_type:map<string,long>>, conversations struct<count:long,summaries:array<struct<chunk_id:string,summary:string,source_refs:array<string>>>>"
+CODE = "version string, title string, code string, code_files struct<files:array<struct<filename:string,chunk_ids:array<string>>>>, fixes struct<entries:array<struct<fix_id:string,affected_code_chunks:array<string>>>>, features struct<entries:array<struct<feature_id:string,code_chunks:array<string>,conversation_refs:array<string>>>>, chunks struct<total:long,by_type:map<string,long>>, conversations struct<count:long,summaries:array<struct<chunk_id:string,summary:string,source_refs:array<string>>>>"
 
 
 def text_files(spark: SparkSession, *dirs: str) -> DataFrame:

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which all executors share; a local one only where the session names none."""
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may have ended; what is left is in the shared folder
+        pass
+
+
+def shared_folder(spark: SparkSession, name: str = "index") -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; it is deleted when the driver ends.
+
+    Where the session names none, local mode gets a temporary one and a cluster an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/index-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path

@@ -42,3 +42,30 @@ def test_lookups(engine):
     assert engine.original("f1").first().mime == "text/plain" and engine.fixes("main").first().fix_id == "fix1" and engine.feature("login").count() == 1
     with pytest.raises(PermissionError):
         engine.add_file_path("/etc/hostname")
+
+
+def test_refined_search_admission_and_guide(spark, tmp_path):
+    from lexmill import config
+
+    now = [1_700_000_000.0]
+    options = config.Config(auth=config.Auth(True, "secret"), rate_limit=config.RateLimit(True, 2))
+    e = Engine(spark, str(tmp_path), options, now=lambda: now[0])
+    assert e.admit("a", "/health") == 200 and e.admit("a", "/search") == 401 and e.admit("a", "/search", "Bearer wrong") == 401
+    assert [e.admit("a", "/search", "Bearer secret") for _ in range(3)] == [200, 200, 429] and e.admit("b", "/search", "secret") == 200
+    now[0] += 30
+    assert e.admit("a", "/search", "secret") == 200 and e.admit("a", "/health") == 200
+    g = e.guide().first()
+    assert (g.version, g.chunks.total, g.conversations["count"]) == ("3.0", 0, 0) and e.fixes("x").count() == 0 and e.feature("x").count() == 0
+    e.add_file("a.md", "kestrels hover over meadows. " * 20 + "\n\n" + "otters swim in rivers. " * 300)
+    seen = []
+
+    def judge(question, previews):
+        seen.append(previews)
+        return "REFINE: otters rivers" if len(seen) == 1 else "FOUND"
+
+    plain = {r.chunk_id for r in e.search("kestrels hover", 5).collect()}
+    refined = {r.chunk_id for r in e.search("kestrels hover", 5, judge=judge, max_refine=2).collect()}
+    assert len(seen) == 2 and seen[0] and plain <= refined
+    assert e.chat("where are otters", judge=lambda q, p: "FOUND")["sources"] and e.query_averages()["queries"] == 1
+    rolled = e.guide().first()
+    assert rolled.conversations["count"] == 1 and rolled.conversations.summaries[0].summary == "where are otters" and rolled.chunks.total == 1 + (e.stats().first().n_chunks > 1)

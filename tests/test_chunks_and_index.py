@@ -199,3 +199,38 @@ def test_refined_search_covers_every_item(spark):
     texts = lambda hits: [r.text[: C.JUDGE_CHARS] for r in i.chunks.where(F.col("chunk_idx").isin([h.chunk_idx for h in hits])).orderBy("chunk_idx").collect()]
     alone = search.refine(one, item.query, C.TOP_K, texts, lambda q, p: calls.append(q) or ("REFINE: of the " + p[0] if len(calls) == 1 and p else "FOUND"))
     assert sorted(got[item.query_id]) == [(r["rank"], r.chunk_idx, round(r.score, 6)) for r in alone.orderBy("rank").collect()]
+
+
+def test_segment_built_alone_equals_its_part_of_a_joint_build(spark):
+    rows = [(n, f, t) for n, (_, f, t) in enumerate(corpus(5))]
+    table = lambda part: spark.createDataFrame([(i, f, i, f"c{i}", t, i // 10) for i, f, t in part], "chunk_idx long, source_file string, n long, chunk_id string, text string, segment_id int")
+    joint = ix.Index.create(table(rows), tempfile.mkdtemp())
+    for s in range(3):
+        alone = ix.Index.create(table([r for r in rows if r[0] // 10 == s]), tempfile.mkdtemp())
+        for name in ix.Index.TABLES:
+            part = getattr(joint, name).where(F.col("segment_id") == s)
+            assert sorted(map(str, part.collect())) == sorted(map(str, getattr(alone, name).select(*part.columns).collect())), name
+        ranked = lambda i: sorted(map(str, ix.ranked_by_tf2idf(i.doc_keywords, i.chunks).where(F.col("segment_id") == s).select("chunk_idx", "keyword", "kw_rank").collect()))  # noqa: B023, E731
+        assert ranked(joint) == ranked(alone)
+
+
+def test_each_query_stops_for_itself(spark):
+    rows = [(0, "a", "kestrel kestrel heron"), (1, "b", "otter badger " * 3 + "kestrel"), (2, "c", "badger sparrow otter")]
+    c = spark.createDataFrame([(i, f, i, f"c{i}", t, i) for i, f, t in rows], "chunk_idx long, source_file string, n long, chunk_id string, text string, segment_id int")
+    index = ix.Index.create(c, tempfile.mkdtemp())
+    texts = {1: "kestrel", 2: "otter badger", 3: "sparrow"}
+    together = spark.createDataFrame(list(texts.items()), "query_id long, query string")
+    hits = lambda q: sorted((r.query_id, r.segment_id, r.chunk_idx, r.rank) for r in search.sequential_segments(index, q, early=0.1).collect())
+    alone = [h for q in texts.items() for h in hits(spark.createDataFrame([q], "query_id long, query string"))]
+    assert hits(together) == sorted(alone)
+    assert {(q, s) for q, s, _, _ in alone} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_containing_is_what_contains_says(spark):
+    rng = random.Random(3)
+    hay = [" ".join(rng.choice(["Alpha", "beta-gamma", "d", "é", "x1", "longword"]) for _ in range(12)) for _ in range(60)]
+    needles = [h[a : a + rng.randrange(1, 25)].lower() for h in hay[:30] for a in (rng.randrange(20),)] + ["longword", "ha be", "zz", " "]
+    c = spark.createDataFrame([(i, t) for i, t in enumerate(hay)], "chunk_idx long, text string")
+    q = spark.createDataFrame(list(enumerate(needles)), "query_id long, needle string")
+    got = {(r.query_id, r.chunk_idx) for r in context.containing(c, q).collect()}
+    assert got == {(j, i) for j, n in enumerate(needles) for i, t in enumerate(hay) if n in t.lower()}
