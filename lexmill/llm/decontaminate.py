@@ -285,6 +285,16 @@ class Segment:
         return found
 
 
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x times the transpose of y, in products so small that no threads are set up for them: they would only wait for each other in a busy worker."""
+    rows = max(1, (1 << 18) // y.size)
+    whole = len(x) // rows * rows
+    out = np.empty((len(x), len(y)), dtype=x.dtype)
+    out[:whole] = np.matmul(x[:whole].reshape(-1, rows, x.shape[1]), y.T).reshape(whole, len(y))
+    out[whole:] = x[whole:] @ y.T
+    return out
+
+
 def candidates(seg: Segment, block: dict, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """First and last block, number of the item, cosine."""
     m = len(block["tokens"])
@@ -301,7 +311,7 @@ def candidates(seg: Segment, block: dict, min_cosine: float) -> Iterator[tuple[n
     for size in sorted(set(block["sizes"])):
         own = np.array([j for j, s in enumerate(block["sizes"]) if s == size])
         w, stop, x, length = seg.of_size(size)
-        cos = x @ block["vectors"][own].T
+        cos = product(x, block["vectors"][own])
         near = cos >= (min_cosine * length)[:, None]
         for k, j in enumerate(own):
             held = docs[of_doc[j] >= block["nearly"][j]]
@@ -337,7 +347,15 @@ def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer:
         for k in range(int(size.max())):  # words of the window that the item has: no less than the subsequence
             ok = k < size
             shared += member[number[np.where(ok, b0 + k, b0)], j] & ok
-        for c in np.flatnonzero(shared >= need):
+        row = seg.row[w]
+        at = np.flatnonzero(shared >= need)
+        at = at[np.lexsort((-cos[at], -shared[at], j[at], row[at]))]  # of a document and item, those that may have the most come first
+        key, most = None, (0, 0.0)
+        for c in at:
+            if (row[c], j[c]) != key:
+                key, most = (row[c], j[c]), (0, 0.0)
+            if (shared[c], cos[c]) <= most:
+                continue  # no better than what was found
             item = int(j[c])
             if item not in item_places:
                 item_places[item], answer_places[item] = places(tokens[item]), places(answers[item])
@@ -347,8 +365,8 @@ def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer:
                 continue
             part = lcs(answer_places[item], seg.h[span].tolist()) / len(answers[item]) if len(answers[item]) else None
             if part is None or part >= min_answer:
-                row = int(seg.row[w[c]])
-                yield row, item, common, float(cos[c]), part, int(b0[c] - seg.offsets[row])
+                most = max(most, (common, float(cos[c])))
+                yield int(row[c]), item, common, float(cos[c]), part, int(b0[c] - seg.offsets[row[c]])
 
 
 RESULT = "doc_id long, item_id long, cosine double, lcs int, coverage double, answer_coverage double, start_word int"
