@@ -138,9 +138,8 @@ def bands(docs: DataFrame, n: int = N, m: int = M, count: int = BANDS, r: int =
     return id_and_text(docs, lower=True).select("doc_id", "text").mapInArrow(run, "band long, doc_id long")
 
 
-def buckets(docs: DataFrame, **banding) -> DataFrame:
+def buckets(b: DataFrame) -> DataFrame:
     """band, doc_id, least, part: the bands that more than one document has, with the least of them; part cuts large buckets into parts of about PART rows."""
-    b = bands(docs, **banding)
     of = b.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("least != most")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))
     return b.join(of, "band").select("band", "doc_id", "least", part.cast("int").alias("part"))
@@ -211,7 +210,8 @@ def groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, duplicate_of: a pair for each document of a group but its first; duplicate_of is the group's least doc_id."""
     scratch = Scratch(docs.sparkSession, "prob_minhash")
-    members = scratch.write(buckets(docs), "buckets")
+    members = scratch.write(buckets(scratch.write(bands(docs), "bands")), "buckets")
+    scratch.drop("bands")
     pairs = scratch.write(candidates(members), "pairs")
     edges = scratch.write(verified(docs, pairs, threshold=threshold).select("a", "b"), "verified")
     group = groups(edges, scratch)
