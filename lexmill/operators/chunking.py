@@ -42,21 +42,27 @@ def _pack(size: np.ndarray, blank: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def chunk_paragraphs(par: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
-    """file, n (from 1), text, file_size. Files without a paragraph give no chunk; a paragraph over the limit is a chunk of its own."""
+def placed(par: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
+    """file, major, minor, n, size, file_size, last: the chunk of each paragraph, made of their sizes alone."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["major", "minor"], kind="stable")
         size = pdf["size"].to_numpy() + len(BREAK)
         size[-1] -= len(BREAK)
         pdf["n"] = _pack(size, pdf["blank"].to_numpy(), limit)
+        pdf["size"] = size
         pdf["file_size"] = int(size.sum())
         pdf["last"] = np.arange(len(pdf)) == len(pdf) - 1
-        return pdf.loc[pdf["n"] > 0, ["file", "major", "minor", "n", "file_size", "last"]]
+        return pdf.loc[pdf["n"] > 0, ["file", "major", "minor", "n", "size", "file_size", "last"]]
 
     sizes = par.select("file", "major", "minor", F.octet_length("p").cast("long").alias("size"), (F.regexp_replace("p", r"[\n \t]", "") == "").alias("blank"))
-    placed = sizes.groupBy("file").applyInPandas(pack, "file string, major long, minor int, n long, file_size long, last boolean")
-    parts = par.join(placed, ["file", "major", "minor"]).groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("major", "minor", "p"))).alias("x"), F.max("last").alias("last"), F.first("file_size").alias("file_size"))
+    return sizes.groupBy("file").applyInPandas(pack, "file string, major long, minor int, n long, size long, file_size long, last boolean")
+
+
+def chunk_paragraphs(par: DataFrame, limit: int = C.CHUNK_BYTES, places: DataFrame | None = None) -> DataFrame:
+    """file, n (from 1), text, file_size. Files without a paragraph give no chunk; a paragraph over the limit is a chunk of its own."""
+    places = placed(par, limit) if places is None else places
+    parts = par.join(places, ["file", "major", "minor"]).groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("major", "minor", "p"))).alias("x"), F.max("last").alias("last"), F.first("file_size").alias("file_size"))
     text = F.concat(F.array_join(F.transform("x", lambda x: x["p"]), BREAK), F.when(F.col("last"), F.lit("")).otherwise(F.lit(BREAK)))
     return parts.select("file", "n", text.alias("text"), "file_size")
 
@@ -76,13 +82,15 @@ def chapter_codes(files: DataFrame) -> DataFrame:
 
 def chunks(par: DataFrame, limit: int = C.CHUNK_BYTES) -> DataFrame:
     """The chunk table: chunk_idx over all files by their size and name, ids, links inside a file, running tokens, summary, text."""
-    c = chunk_paragraphs(par, limit)
+    places = placed(par, limit)
+    c = chunk_paragraphs(par, limit, places)
     tokens = T.token_count(F.col("text"))
-    files = c.groupBy("file", "file_size").agg(F.count("*").alias("k"), F.sum(tokens).alias("t"))
+    files = places.groupBy("file", "n").agg(F.first("file_size").alias("file_size"), F.floor(F.sum("size") / C.BYTES_PER_TOKEN).alias("t"))  # a chunk's text is its paragraphs and the breaks after them
+    files = files.groupBy("file", "file_size").agg(F.count("*").alias("k"), F.sum("t").alias("t"))
     before = Window.orderBy("file_size", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    places = files.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first_token"))
+    offsets = files.select("file", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first_token"))
     inside = Window.partitionBy("file").orderBy("n")
-    c = c.join(chapter_codes(files.select("file", "file_size")), "file").join(places, "file")
+    c = c.join(chapter_codes(files.select("file", "file_size")), "file").join(offsets, "file")
     c = c.withColumn("chunk_id", F.format_string("%s_%03d", "chapter_code", "n"))
     end = F.col("first_token") + F.sum(tokens).over(inside)
     return c.select(

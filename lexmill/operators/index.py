@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..functions.porter import with_stems
+from ..functions.porter import stem_column, with_stems
 
 KEY = ["segment_id", "chunk_idx"]
 
 
+def by_chunk(df: DataFrame) -> DataFrame:
+    """The rows of a chunk in one task; what is grouped or ordered inside chunks after it moves nothing more."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+
+
 def with_segment(chunk_table: DataFrame) -> DataFrame:
     return chunk_table if "segment_id" in chunk_table.columns else chunk_table.withColumn("segment_id", F.lit(0))
 
 
 def chunk_keywords(chunk_table: DataFrame, with_bigrams: bool = True) -> DataFrame:
     """segment_id, chunk_idx, keyword, tf, pos (rank in the chunk by tf, then keyword); at most 50 bigrams a chunk."""
-    toks = with_segment(chunk_table).select(*KEY, T.tokens(F.col("text")).alias("toks"))
+    toks = by_chunk(with_segment(chunk_table).select(*KEY, "text")).select(*KEY, T.tokens(F.col("text")).alias("toks"))
     words = F.concat("toks", T.bigrams(F.col("toks"))) if with_bigrams else F.col("toks")
     k = toks.select(*KEY, F.explode(words).alias("keyword")).groupBy(*KEY, "keyword").agg(F.least(F.count("*"), F.lit(C.TF_MOST)).cast("int").alias("tf"))
     order = Window.partitionBy(*KEY, F.col("keyword").contains("_")).orderBy(F.desc("tf"), "keyword")
@@ -41,25 +46,38 @@ def segment_sizes(chunk_table: DataFrame) -> DataFrame:
     return F.broadcast(with_segment(chunk_table).groupBy("segment_id").agg(F.count("*").alias("n_chunks")))
 
 
+def keyword_stats(keywords: DataFrame) -> DataFrame:
+    """segment_id, keyword, df, stem."""
+    return keyword_df(keywords).withColumn("stem", stem_column("keyword"))
+
+
 def propagate(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
     """Adds to each chunk the 5 rarest single words of the chunks before and after it in its file, if it lacks them, with tf 1.
 
     Adds the column origin: own, prev or next (prev wins). Ranks go on after the chunk's own keywords.
     """
+    with_df = keywords.join(keyword_df(keywords), ["segment_id", "keyword"])
+    return keywords.withColumn("origin", F.lit("own")).unionByName(added_by_neighbours(with_df, chunk_table))
+
+
+def added_by_neighbours(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
+    """What propagate() adds; keywords have their df. Columns besides these are those of the keyword in its own chunk."""
     c = with_segment(chunk_table).select(*KEY, "source_file")
-    scored = keywords.where(~F.col("keyword").contains("_")).join(keyword_df(keywords), ["segment_id", "keyword"]).join(segment_sizes(c), "segment_id")
+    more = [x for x in keywords.columns if x not in (*KEY, "keyword", "tf", "pos", "df")]
+    keywords = by_chunk(keywords)
+    scored = keywords.where(~F.col("keyword").contains("_")).join(segment_sizes(c), "segment_id")
     scored = scored.withColumn("idf", F.log(F.col("n_chunks") / (1 + F.col("df"))))
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("idf"), "keyword"))).where(F.col("r") <= C.NEIGHBOUR_KEYWORDS).join(c, KEY)
     moved = None
     for shift, origin in ((1, "prev"), (-1, "next")):
-        part = top.select("segment_id", (F.col("chunk_idx") + shift).alias("chunk_idx"), "source_file", "keyword", F.lit(origin).alias("origin"), "r")
+        part = top.select("segment_id", (F.col("chunk_idx") + shift).alias("chunk_idx"), "source_file", "keyword", F.lit(origin).alias("origin"), "r", *more)
         moved = part if moved is None else moved.unionByName(part)
     moved = moved.join(c, [*KEY, "source_file"]).join(keywords.select(*KEY, "keyword"), [*KEY, "keyword"], "left_anti")
-    first = moved.groupBy(*KEY, "keyword").agg(F.min_by(F.struct("origin", "r"), F.when(F.col("origin") == "prev", 0).otherwise(1)).alias("o"))
+    first = moved.groupBy(*KEY, "keyword").agg(F.min_by(F.struct("origin", "r", *more), F.when(F.col("origin") == "prev", 0).otherwise(1)).alias("o"))
     size = keywords.groupBy(*KEY).agg(F.max("pos").alias("own"))
     order = Window.partitionBy(*KEY).orderBy(F.when(F.col("o.origin") == "prev", 0).otherwise(1), "o.r", "keyword")
-    added = first.withColumn("k", F.row_number().over(order)).join(size, KEY, "left").select(*KEY, "keyword", F.lit(1).alias("tf"), (F.coalesce("own", F.lit(0)) + F.col("k")).alias("pos"), F.col("o.origin").alias("origin"))
-    return keywords.withColumn("origin", F.lit("own")).unionByName(added)
+    first = first.withColumn("k", F.row_number().over(order)).join(size, KEY, "left")
+    return first.select(*KEY, "keyword", F.lit(1).alias("tf"), (F.coalesce("own", F.lit(0)) + F.col("k")).alias("pos"), F.col("o.origin").alias("origin"), *[F.col(f"o.{x}").alias(x) for x in more])
 
 
 def ranked_by_tf2idf(keywords: DataFrame, chunk_table: DataFrame) -> DataFrame:
@@ -126,7 +144,7 @@ class Index:
 
     @classmethod
     def create(cls, chunk_table: DataFrame, path: str, segment: int | None = None) -> Index:
-        """The index as parquet under path. Chunks, their own keywords and all keywords are written before what hangs on them is
+        """The index as parquet under path. Chunks, their own keywords, these with df and stem, and all keywords are written before what hangs on them is
         planned, so that no text is cut or tokenised twice. With a segment, only its partition of each table is written, over what it held.
         """
         spark = chunk_table.sparkSession
@@ -139,10 +157,16 @@ class Index:
             df.drop("segment_id").write.mode("overwrite").option("compression", "zstd").parquet(part)
             return spark.read.parquet(part).withColumn("segment_id", F.lit(segment)).select(*df.columns)
 
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         c = write(with_segment(chunk_table), "chunks")
         own = write(chunk_keywords(c), "own_keywords")
-        dk = write(with_stems(propagate(own, c)).repartitionByRange("stem").sortWithinPartitions("stem", "chunk_idx"), "doc_keywords")
-        post = write(postings(dk).repartitionByRange("stem").sortWithinPartitions("stem", "chunk_idx"), "postings")
+        # own keywords with df and stem: one join for what follows. Neighbours add single words only, so df of bigrams is that of own keywords.
+        known = write(own.join(keyword_stats(own), ["segment_id", "keyword"]), "known_keywords")
+        every = known.drop("df").withColumn("origin", F.lit("own")).unionByName(added_by_neighbours(known, c))
+        dk = write(every.repartition(parts, "stem").sortWithinPartitions("stem", "chunk_idx"), "doc_keywords")
+        hapax = (F.col("df") <= 1) & F.col("keyword").contains("_")
+        kept = known.where(~hapax).select("segment_id", "stem", "chunk_idx").unionByName(dk.where("origin != 'own'").select("segment_id", "stem", "chunk_idx"))
+        post = write(kept.repartition(parts, "stem").distinct().sortWithinPartitions("stem", "chunk_idx"), "postings")
         stats = write(doc_stats(dk), "doc_stats")
         return cls(chunks=c, doc_keywords=dk, postings=post, stem_stats=write(stem_stats(post), "stem_stats"), doc_stats=stats, segment_stats=write(segment_stats(c, stats), "segment_stats"))
 
