@@ -150,6 +150,11 @@ _SECOND_ROUND = {n: f"{n}_r" for n in ("qwords", "qstems", "bm_0", "rank_0", "ca
 BASE |= {r: re.sub(r"\w+", lambda m: _SECOND_ROUND.get(m[0], m[0]), BASE[n]) for n, r in _SECOND_ROUND.items()}
 BASE["qwords_r"] = f"SELECT DISTINCT item_id AS query_id, unnest({tokens('words')}) AS term FROM (SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= {ROUND_WORD}), ' ') AS words FROM benchmark)"
 BASE["merged"] = _rank("(SELECT query_id, segment_id, chunk_idx, max(score) AS score FROM (SELECT query_id, segment_id, chunk_idx, score FROM two UNION ALL SELECT query_id, segment_id, chunk_idx, score FROM two_r) GROUP BY ALL)")
+_REFINED = {n: f"{n}_f" for n in _SECOND_ROUND} | {"porter": "porter_f"}
+BASE |= {r: re.sub(r"\w+", lambda m: _REFINED.get(m[0], m[0]), BASE[n]) for n, r in _REFINED.items() if n in BASE}
+BASE["qwords_f"] = f"SELECT DISTINCT query_id, unnest({tokens('words')}) AS term FROM (SELECT query_id, 'of the ' || left(arg_min(text, chunk_idx), {C.JUDGE_CHARS}) AS words FROM two JOIN base_chunks USING (chunk_idx) GROUP BY query_id)"
+BASE["porter_f"] = f"WITH {porter.sql('SELECT term AS word FROM qwords_f')} SELECT word, stem FROM porter"
+BASE["refined"] = _rank("(SELECT query_id, segment_id, chunk_idx, max(score) AS score FROM (SELECT query_id, segment_id, chunk_idx, score FROM two UNION ALL SELECT query_id, segment_id, chunk_idx, score FROM two_f) GROUP BY ALL)")
 BASE["seg_all"] = "SELECT query_id, segment_id, chunk_idx, score FROM seg_second"
 BASE["seg_most"] = "SELECT *, max(most) OVER (PARTITION BY query_id ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT query_id, segment_id, max(score) AS most FROM seg_all GROUP BY ALL)"
 BASE["seg_early"] = _rank(f"(SELECT a.* FROM seg_all a JOIN seg_most USING (query_id, segment_id) WHERE coalesce(before, 0) < {EARLY})")
@@ -210,6 +215,15 @@ SQL: dict[str, str] = {
     "answers_with_sources": f"""SELECT doc_id, lang || CASE WHEN doc_id % 2 = 0 THEN {NL2} || 'Sources: ' || source || '_1, ' || lang ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN {NL2} || 'Response ID: CH' || doc_id ELSE '' END AS answer,
         doc_id % 4 <> 1 AS found, CASE WHEN doc_id % 4 = 1 THEN 'more ' || lang ELSE '' END AS terms,
         CASE WHEN length(text) <= 500 THEN text ELSE CASE WHEN contains(left(text, 500), '.') AND 500 - instr(reverse(left(text, 500)), '.') > 400 THEN left(text, 501 - instr(reverse(left(text, 500)), '.')) ELSE left(text, 500) END || ' ...' END AS context FROM documents""",
+    "named_entities": f"""WITH t AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[-''][A-Za-z][A-Za-z0-9]*)*') AS l FROM documents)),
+        n AS (SELECT *, regexp_full_match(tok, '[A-Z](?:[A-Za-z0-9''-]*[a-z][A-Za-z0-9''-]*)?') AND lower(tok) NOT IN {_list(C.NO_NAMES)} AS name FROM t),
+        j AS (SELECT *, name OR (lower(tok) IN {_list(C.NAME_CONNECTORS)} AND coalesce(lag(name) OVER w, false) AND coalesce(lead(name) OVER w, false)) AS inside FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, inside ORDER BY i) AS island FROM j),
+        m AS (SELECT doc_id, min(i) AS at, string_agg(tok, ' ' ORDER BY i) AS entity, count(*) AS n FROM g WHERE inside GROUP BY doc_id, island HAVING count(*) > 1),
+        k AS (SELECT doc_id, 0 AS part, at, entity, trim(regexp_replace(regexp_replace(lower(entity), '[ ''-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_') AS normalized, n FROM m
+            UNION ALL SELECT doc_id, 1, i, tok, lower(regexp_replace(tok, '[^A-Z]', '', 'g')), 1 FROM t WHERE regexp_full_match(tok, '[A-Z.-]{{2,10}}')),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY part, at) AS r FROM k WHERE length(normalized) >= 3 - part)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, at) - 1)::INTEGER AS ordinal, entity, normalized, n::INTEGER AS token_count FROM f WHERE r = 1""",
     "paragraph_chunks": put("SELECT chunk_idx, n::BIGINT AS n, token_start::BIGINT AS token_start, token_end::BIGINT AS token_end, chunk_id, source_file, chapter_code, prev_chunk_id, next_chunk_id, summary, strlen(text)::INTEGER AS size, md5(text) AS digest FROM base_chunks"),
     "dynamic_chunks": put("SELECT file, n::BIGINT AS n, md5(text) AS digest FROM cut_small"),
     "segment_ranges": put("SELECT chunk_id, segment_id::INTEGER AS segment_id FROM chunks_1"),
@@ -238,8 +252,9 @@ SQL: dict[str, str] = {
     "sequential_segments_top8": put("SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM multi", 1),
     "sequential_segments_early": put(f"SELECT query_id, segment_id, chunk_idx, rank, round(score, 6) AS score FROM seg_early WHERE rank <= {C.TOP_K}", 1),
     "merged_rounds": put(f"SELECT {HITS} FROM merged WHERE rank <= {C.TOP_K}"),
+    "refined_search": put(f"SELECT {HITS} FROM refined WHERE rank <= {C.TOP_K}"),
     "source_coherence": put(f"SELECT {HITS} FROM coherent_8"),
-    "score_threshold": put(f"SELECT {HITS} FROM coherent_20 c JOIN (SELECT query_id, score AS top FROM coherent_20 WHERE rank = 1) USING (query_id) WHERE c.score >= top * 0.5::DOUBLE"),
+    "score_threshold": put(f"SELECT {HITS} FROM (SELECT *, max(score) FILTER (WHERE rank = 1) OVER (PARTITION BY query_id) AS top FROM coherent_20) WHERE score >= top * 0.5::DOUBLE"),
     "dynamic_top_k": put(f"SELECT n_chunks, (CASE WHEN n_chunks = 0 THEN 8 {TIERS} END)::BIGINT AS top_k FROM (SELECT count(*) AS n_chunks FROM base_chunks)"),
     "reranked": put(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ords(C.RERANK_CHARS)} DESC, rank)::BIGINT AS rank, chunk_id, {_ords(C.RERANK_CHARS)}::DOUBLE AS score FROM two20 JOIN base_chunks USING (chunk_idx)"),
     "scanned": put(f"SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, {_ords(C.SCANNER_CHARS)} % 2 = 0 AS yes, bool_or({_ords(C.SCANNER_CHARS)} % 2 = 0) OVER (PARTITION BY query_id) AS any_yes FROM two20 JOIN base_chunks USING (chunk_idx)) WHERE yes OR NOT any_yes) WHERE rank <= {C.SCANNER_KEEP}"),
