@@ -219,11 +219,11 @@ SQL: dict[str, str] = {
         n AS (SELECT *, regexp_full_match(tok, '[A-Z](?:[A-Za-z0-9''-]*[a-z][A-Za-z0-9''-]*)?') AND lower(tok) NOT IN {_list(C.NO_NAMES)} AS name FROM t),
         j AS (SELECT *, name OR (lower(tok) IN {_list(C.NAME_CONNECTORS)} AND coalesce(lag(name) OVER w, false) AND coalesce(lead(name) OVER w, false)) AS inside FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, inside ORDER BY i) AS island FROM j),
-        m AS (SELECT doc_id, min(i) AS at, string_agg(tok, ' ' ORDER BY i) AS entity, count(*) AS n FROM g WHERE inside GROUP BY doc_id, island HAVING count(*) > 1),
-        k AS (SELECT doc_id, 0 AS part, at, entity, trim(regexp_replace(regexp_replace(lower(entity), '[ ''-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_') AS normalized, n FROM m
+        m AS (SELECT doc_id, min(i) AS place, string_agg(tok, ' ' ORDER BY i) AS entity, count(*) AS n FROM g WHERE inside GROUP BY doc_id, island HAVING count(*) > 1),
+        k AS (SELECT doc_id, 0 AS part, place, entity, trim(regexp_replace(regexp_replace(lower(entity), '[ ''-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_') AS normalized, n FROM m
             UNION ALL SELECT doc_id, 1, i, tok, lower(regexp_replace(tok, '[^A-Z]', '', 'g')), 1 FROM t WHERE regexp_full_match(tok, '[A-Z.-]{{2,10}}')),
-        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY part, at) AS r FROM k WHERE length(normalized) >= 3 - part)
-        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, at) - 1)::INTEGER AS ordinal, entity, normalized, n::INTEGER AS token_count FROM f WHERE r = 1""",
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY part, place) AS r FROM k WHERE length(normalized) >= 3 - part)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, place) - 1)::INTEGER AS ordinal, entity, normalized, n::INTEGER AS token_count FROM f WHERE r = 1""",
     "paragraph_chunks": put("SELECT chunk_idx, n::BIGINT AS n, token_start::BIGINT AS token_start, token_end::BIGINT AS token_end, chunk_id, source_file, chapter_code, prev_chunk_id, next_chunk_id, summary, strlen(text)::INTEGER AS size, md5(text) AS digest FROM base_chunks"),
     "dynamic_chunks": put("SELECT file, n::BIGINT AS n, md5(text) AS digest FROM cut_small"),
     "segment_ranges": put("SELECT chunk_id, segment_id::INTEGER AS segment_id FROM chunks_1"),
