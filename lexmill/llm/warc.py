@@ -28,7 +28,7 @@ from .shared import read
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<!doctype[^>]*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|head\b[^>]*>.*?</head\s*>|noscript\b[^>]*>.*?</noscript\s*>|!doctype[^>]*>)"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|section|article|nav|header|footer|aside|main|blockquote|pre|form|hr|dl|dt|dd|title|figure|figcaption|td|th)\b[^>]*>"
 TAGS = r"<[^>]*>"
 COMMON = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
@@ -77,13 +77,13 @@ def unescape(c: Column) -> Column:
 
 def stripped(html: Column) -> Column:
     c = F.regexp_replace(html, HIDDEN, " ")
-    c = F.regexp_replace(c, r"[ \t\r\n\f]+", " ")
+    c = F.regexp_replace(c, r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " ")  # not the single spaces
     return F.regexp_replace(F.regexp_replace(c, BREAKS, "\n"), TAGS, "")
 
 
 def tidy(text: Column) -> Column:
     c = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(c, r" +", " "), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(c, r" {2,}", " "), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, warc_date: str = WARC_DATE) -> DataFrame:
