@@ -51,6 +51,7 @@ ITEM_BLOCK = 64
 PASS_ITEMS = 1 << 17
 TERM_BLOCKS = 64
 SEGMENT_WORDS = 1 << 17
+PART = 512  # blocks or windows whose vectors stay in the processor's cache
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -262,13 +263,19 @@ class Segment:
         self.n = len(self.begins)
         self.row = np.searchsorted(offsets, self.begins, side="right") - 1
         self.first, self.last = np.searchsorted(self.row, self.row), np.searchsorted(self.row, self.row, side="right")
-        some = np.flatnonzero(space.any(axis=1)[self.term])
-        of = self.block[some]
-        sums = np.zeros((self.n + 1, space.shape[1]))
-        if len(some):
-            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            sums[of[new] + 1] = np.add.reduceat(space[self.term[some]], new, axis=0)
-        self.sums = np.cumsum(sums, axis=0, out=sums)
+        terms = np.full((self.n, BLOCK), len(space))  # of each block; the row after the last of the space is zero
+        terms[self.block, at % BLOCK] = self.term
+        space = np.concatenate((space, np.zeros((1, space.shape[1]), space.dtype)))
+        self.sums = np.zeros((self.n + 1, space.shape[1]))
+        for a in range(0, self.n, PART):
+            part = terms[a : a + PART]
+            total = space[part[:, 0]]
+            for i in range(1, BLOCK):
+                total += space[part[:, i]]
+            self.sums[a + 1 : a + 1 + len(part)] = total
+        np.cumsum(self.sums, axis=0, out=self.sums)
+        self.parts = np.empty((2, PART, space.shape[1]))
+        self.starts: dict[int, tuple] = {}
         self.windows: dict[tuple[int, int], tuple] = {}
 
     def of_size(self, size: tuple[int, int]) -> tuple:
@@ -276,11 +283,24 @@ class Segment:
         found = self.windows.get(size)
         if found is None:
             span, step = size
-            b = np.arange(self.n)
-            stop = np.minimum(b + span, self.last)
-            w = np.flatnonzero(((b - self.first) % step == 0) & ((stop - b > span - step) | (b == self.first)))
-            x = (self.sums[stop[w]] - self.sums[w]).astype(np.float32)
-            found = (w, stop[w], x, np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9))
+            if step not in self.starts:
+                b = np.arange(self.n)
+                b = b[(b - self.first) % step == 0]
+                self.starts[step] = b, self.first[b] == b, self.last[b]
+            w, is_first, last = self.starts[step]
+            stop = np.minimum(w + span, last)
+            some = (stop - w > span - step) | is_first
+            w, stop = w[some], stop[some]
+            x = np.empty((len(w), self.sums.shape[1]), dtype=np.float32)
+            square = np.empty(len(w), dtype=np.float32)
+            for a in range(0, len(w), PART):
+                part = slice(a, a + PART)
+                upper, lower = (p[: len(w[part])] for p in self.parts)
+                np.take(self.sums, stop[part], axis=0, out=upper, mode="clip")
+                np.take(self.sums, w[part], axis=0, out=lower, mode="clip")
+                x[part] = np.subtract(upper, lower, out=upper)
+                np.einsum("ij,ij->i", x[part], x[part], out=square[part])
+            found = (w, stop, x, np.maximum(np.sqrt(square), 1e-9))
             self.windows = {size: found}  # one at a time; items come in the order of their sizes
         return found
 
@@ -303,27 +323,25 @@ def candidates(seg: Segment, block: dict, min_cosine: float) -> Iterator[tuple[n
     hit = np.flatnonzero(many)
     many = many[hit]
     where = np.repeat(ends[seg.term[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    counts = np.zeros((m, seg.n + 1), dtype=np.int32)
-    counts[:, 1:] = np.bincount(block["of_item"][where] * seg.n + np.repeat(seg.block[hit], many), minlength=m * seg.n).reshape(m, seg.n)
-    np.cumsum(counts, axis=1, out=counts)
-    docs = np.flatnonzero(np.diff(seg.offsets))
-    of_doc = counts[:, np.searchsorted(seg.row, docs, side="right")] - counts[:, np.searchsorted(seg.row, docs)]
+    item, at = block["of_item"][where], np.repeat(seg.block[hit], many)
+    at = at[np.argsort(item.astype(np.uint16), kind="stable")]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(item, minlength=m))))
+    upto = np.zeros(seg.n + 1, dtype=np.int32)  # rarer words of one item before each block
     for size in sorted(set(block["sizes"])):
         own = np.array([j for j, s in enumerate(block["sizes"]) if s == size])
         w, stop, x, length = seg.of_size(size)
         cos = product(x, block["vectors"][own])
         near = cos >= (min_cosine * length)[:, None]
         for k, j in enumerate(own):
-            held = docs[of_doc[j] >= block["nearly"][j]]
-            if len(held):
-                inside = np.flatnonzero(np.isin(seg.row[w], held))
-                near[inside, k] |= counts[j, stop[inside]] - counts[j, w[inside]] >= block["nearly"][j]
-        at, k = np.nonzero(near)
-        j = own[k]
-        enough = counts[j, stop[at]] - counts[j, w[at]] >= block["least"][j]
-        at, k, j = at[enough], k[enough], j[enough]
-        if len(at):
-            yield w[at], stop[at], j, cos[at, k] / length[at]
+            least, hits = block["least"][j], at[begin[j] : begin[j + 1]]
+            if not (hits[least - 1 :] - hits[: max(0, len(hits) - least + 1)] < size[0]).any():
+                continue  # nowhere are so many as close together as in a window
+            np.cumsum(np.bincount(hits, minlength=seg.n), out=upto[1:])
+            held = upto[stop] - upto[w]
+            passed = np.flatnonzero(held >= least)
+            passed = passed[near[passed, k] | (held[passed] >= block["nearly"][j])]
+            if len(passed):
+                yield w[passed], stop[passed], np.full(len(passed), j), cos[passed, k] / length[passed]
 
 
 def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer: float) -> Iterator[tuple]:
@@ -335,7 +353,6 @@ def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer:
     member = np.zeros((len(terms) + 1, len(tokens)), dtype=bool)
     for j, t in enumerate(tokens):
         member[known[t & np.uint32(TERMS - 1)], j] = True
-    number = known[seg.term]
     item_places, answer_places = {}, {}
     need_of = np.ceil(np.array([len(t) for t in tokens]) * min_lcs - 1e-9)
     for begin in range(0, len(found[0]), 1 << 16):
@@ -346,7 +363,7 @@ def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer:
         shared = np.zeros(len(w), dtype=np.int32)
         for k in range(int(size.max())):  # words of the window that the item has: no less than the subsequence
             ok = k < size
-            shared += member[number[np.where(ok, b0 + k, b0)], j] & ok
+            shared += member[known[seg.term[np.where(ok, b0 + k, b0)]], j] & ok
         row = seg.row[w]
         at = np.flatnonzero(shared >= need)
         at = at[np.lexsort((-cos[at], -shared[at], j[at], row[at]))]  # of a document and item, those that may have the most come first
@@ -360,7 +377,7 @@ def checked(seg: Segment, block: dict, found: tuple, min_lcs: float, min_answer:
             if item not in item_places:
                 item_places[item], answer_places[item] = places(tokens[item]), places(answers[item])
             span = slice(b0[c], b0[c] + size[c])
-            common = lcs(item_places[item], seg.h[span][member[number[span], item]].tolist())
+            common = lcs(item_places[item], seg.h[span][member[known[seg.term[span]], item]].tolist())
             if common < need[c]:
                 continue
             part = lcs(answer_places[item], seg.h[span].tolist()) / len(answers[item]) if len(answers[item]) else None
@@ -392,8 +409,9 @@ def search(table: DataFrame, blocks: list[dict], space: np.ndarray, min_cosine:
             seg = Segment(h, offsets, space)
             best: dict[tuple[int, int], tuple] = {}
             for b, block in enumerate(blocks):
-                for found in candidates(seg, block, min_cosine):
-                    for row, item, *entry in checked(seg, block, found, min_lcs, min_answer):
+                found = list(candidates(seg, block, min_cosine))
+                if found:
+                    for row, item, *entry in checked(seg, block, tuple(map(np.concatenate, zip(*found))), min_lcs, min_answer):
                         key = (row, b * ITEM_BLOCK + item)
                         if key not in best or entry[:2] > best[key][:2]:
                             best[key] = entry
