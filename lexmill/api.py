@@ -42,7 +42,7 @@ class Engine:
         """Takes up the segments that are there now."""
         path = f"{self.root}/index"
         if self._exists(f"{path}/segment_stats"):
-            for t in ix.Index.TABLES:
+            for t in ix.Index.STORED:
                 self.spark.catalog.refreshByPath(f"{path}/{t}")
             self.index = ingest.read(self.spark, path)
         else:

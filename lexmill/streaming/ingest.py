@@ -33,7 +33,7 @@ def ingest(files: DataFrame, path: str, batch_id: int) -> None:
 
 def read(spark: SparkSession, path: str) -> Index:
     """The index as it is now; call again to see later batches."""
-    return Index(**{t: spark.read.parquet(f"{path}/{t}") for t in Index.TABLES})
+    return Index.read(spark, path)
 
 
 def stream(spark: SparkSession, source: str, path: str, checkpoint: str):
